@@ -1,7 +1,8 @@
 """Quality rules: statistics of each whole text, then an isolation forest over them.
 
-The forest is an ensemble of random binary trees; a document that few random splits set apart is anomalous. It is fitted
-on at most ``sample`` labelled rows (those with the smallest hash of the key), and its threshold is calibrated on the
+The forest is an ensemble of random binary trees; a document that few random splits set apart is anomalous. Each tree
+grows on good labelled rows with a few bad ones among them (``bad_rows``): few enough to stay easy to set apart, which
+a dense crowd of junk is not. It is fitted on at most ``sample`` labelled rows (those with the smallest hash of the key), and its threshold is calibrated on the
 same rows: the largest share of low-quality rows rejected while at most ``false_rejects`` of the good rows are.
 Everything else runs over all documents, in one pass without an exchange.
 
@@ -58,7 +59,7 @@ def _repeated(words: Words, window: int = 5) -> np.ndarray:
 def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The base statistics (a column each, as BASE names them), and the forest's features, of each text."""
     data, offsets = column_bytes(column)
-    base, features = [np.zeros((0, 5), dtype=np.int64)], [np.zeros((0, 6))]
+    base, features = [np.zeros((0, 5), dtype=np.int64)], [np.zeros((0, 4))]
     for low, high in blocks(offsets):
         words = Words(data, offsets[low : high + 1], BLACK)
         raw, at = words.data, words.offsets
@@ -69,8 +70,9 @@ def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         dup = np.array([_dup_lines(raw[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], dtype=np.int64)
         again = _repeated(words)
         base.append(np.stack([n, chars, symbols, dup, again], axis=1))
-        per_word, lines = np.maximum(n, 1), _sums(raw == 10, at) + 1
-        features.append(np.stack([chars / per_word, symbols / per_word, _sums(_MARK[raw], at) / per_word, _sums(_UPPER[raw], at) / np.maximum(_sums(_LETTER[raw], at), 1), dup / lines, again / per_word], axis=1))
+        per_word = np.maximum(n, 1)
+        ratios = [chars / per_word, symbols / per_word, _sums(_MARK[raw], at) / per_word, _sums(_UPPER[raw], at) / np.maximum(_sums(_LETTER[raw], at), 1)]
+        features.append(np.log1p(50 * np.stack(ratios, axis=1)))
     return np.concatenate(base), np.concatenate(features)
 
 
@@ -79,11 +81,12 @@ def base_failed(base: np.ndarray) -> np.ndarray:
 
 
 class IsolationForest:
-    """Random trees over rows of ``x``: a feature and a value between its extremes split each node."""
+    """Random trees over labelled rows: a feature and a value between its extremes split each node."""
 
-    def __init__(self, x: np.ndarray, trees: int = 128, rows: int = 256, seed: int = 7):
+    def __init__(self, good: np.ndarray, bad: np.ndarray, trees: int = 128, rows: int = 256, bad_rows: int = 4, seed: int = 7):
         rng = np.random.default_rng(seed)
-        rows = min(rows, len(x))
+        bad_rows = min(bad_rows, len(bad))
+        rows = min(rows, len(good) + bad_rows)
         self.depth = max(1, int(np.ceil(np.log2(max(rows, 2)))))
         self.scale = _mean_path(rows)
         width = 2 ** (self.depth + 1)
@@ -91,7 +94,8 @@ class IsolationForest:
         self.value = np.full((trees, width), np.inf)
         self.leaf = np.zeros((trees, width))
         for t in range(trees):
-            self._grow(t, 1, x[rng.choice(len(x), rows, replace=False)], 0, rng)
+            some = [x[rng.choice(len(x), n, replace=False)] for x, n in ((good, rows - bad_rows), (bad, bad_rows))]
+            self._grow(t, 1, np.concatenate(some), 0, rng)
 
     def _grow(self, tree: int, node: int, x: np.ndarray, depth: int, rng) -> None:
         low, high = x.min(axis=0), x.max(axis=0)
@@ -146,7 +150,7 @@ def calibrated(good: np.ndarray, bad: np.ndarray, false_rejects: float) -> float
     return float((allowed + over.min()) / 2) if len(over) else float(allowed)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 10_000, false_rejects: float = 0.002, trees: int = 128, rows: int = 256, seed: int = 7) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 10_000, false_rejects: float = 0.001, trees: int = 128, rows: int = 256, bad_rows: int = 4, seed: int = 7) -> QualityModel:
     """Fits on at most ``sample`` labelled rows; only their statistics come to the driver."""
     marked = labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").groupBy("k").agg(F.min("y").alias("y"))
     marked = marked.orderBy(F.xxhash64("k"), "k").limit(sample)
@@ -155,17 +159,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
         for batch in batches:
             base, features = statistics(batch.column(1))
             columns = [*base.T, *features.T, batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, dtype=float)) if isinstance(c, np.ndarray) else c.cast(pa.float64()) for c in columns], names=[f"c{k}" for k in range(12)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, dtype=float)) if isinstance(c, np.ndarray) else c.cast(pa.float64()) for c in columns], names=[f"c{k}" for k in range(10)])
 
     # the sample has a bound, and so has its broadcast
     rows_of = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(marked), "k").select("y", "t")
-    found = rows_of.mapInArrow(measure, ", ".join(f"c{k} double" for k in range(12))).toPandas().to_numpy()
+    found = rows_of.mapInArrow(measure, ", ".join(f"c{k} double" for k in range(10))).toPandas().to_numpy()
     found = found[np.lexsort(found.T)]
     found = found[~base_failed(found[:, :5])]
-    y, x = found[:, 11], found[:, 5:11]
+    y, x = found[:, 9], found[:, 5:9]
     if not (y == 1).any() or not (y == 0).any():
         return QualityModel(None, 1.0)
-    forest = IsolationForest(x, trees, rows, seed)
+    forest = IsolationForest(x[y == 1], x[y == 0], trees, rows, bad_rows, seed)
     scores = forest.scores(x)
     return QualityModel(forest, calibrated(scores[y == 1], scores[y == 0], false_rejects))
 
