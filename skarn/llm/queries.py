@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contamination_report
 from .near_dup import near_duplicates
 from .quality import fit_quality, quality_report
+from .substring import substring_report
 from .token_output import token_output
 from .warc import warc
 
@@ -26,6 +27,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op3_decontaminate, op7_near_dup, op9_quality, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op3_decontaminate, op4_substring, op7_near_dup, op9_quality, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": """
@@ -55,6 +60,16 @@ ORACLE_SQL: dict[str, str] = {
         hi AS (SELECT doc_id, count(*) AS c, sha256(string_agg(item, ',' ORDER BY item)) AS x FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hw.c, 0) AS n_hit, coalesce(hi.c, 0) AS n_items, coalesce(hi.x, sha256('')) AS items_sha256, hw.c IS NOT NULL AS contaminated
         FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+    "op4_substring": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, i, sha256(array_to_string(w[i : i + 34], ' ')) AS x FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+        r AS (SELECT x FROM s GROUP BY x HAVING count(*) > 1),
+        g AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS p FROM s JOIN r USING (x)),
+        k AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id),
+        t AS (SELECT d.doc_id, p, w[p] AS word FROM d, unnest(generate_series(1, len(w))) AS u(p)),
+        o AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM t ANTI JOIN g USING (doc_id, p) GROUP BY t.doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id) LEFT JOIN o USING (doc_id)""",
     "op7_near_dup": """
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
