@@ -111,7 +111,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 reader.close()
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([path] * len(keys), pa.string()), pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(at), pa.array(counts), pa.array(sums, pa.int64())], names=["doc_id", "path", "frame", "at", "n_tokens", "ids_crc32"])
 
-    return with_starts(manifest).select("path", "start").repartition(F.col("path")).mapInArrow(read, READ)
+    return with_starts(manifest).select("path", "start").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(read, READ)
 
 
 def fetch(path: str, doc_id: int) -> list[np.ndarray]:
