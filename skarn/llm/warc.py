@@ -178,7 +178,8 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([dict(zip(_READ.names, r, strict=True)) for r in rows], schema=_READ)
                 reader.close()
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(read, READ)
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("path").repartition(tasks, "path").mapInArrow(read, READ)
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("frame", pa.int32()), ("offset", pa.int64())])
