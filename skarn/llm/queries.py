@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination_report
 from .near_dup import near_duplicates
+from .packing import pack
 from .quality import fit_quality, quality_report
 from .substring import substring_report
 from .token_output import token_output
@@ -35,6 +36,10 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_report(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
@@ -44,7 +49,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op3_decontaminate, op4_substring, op7_near_dup, op9_quality, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op3_decontaminate, op4_substring, op7_near_dup, op8_packing, op9_quality, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": """
