@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination_report
+from .html import extract_pages
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality import fit_quality, quality_report
@@ -32,6 +33,10 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op3_decontaminate, op4_substring, op7_near_dup, op8_packing, op9_quality, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op3_decontaminate, op4_substring, op6_html, op7_near_dup, op8_packing, op9_quality, op10_warc)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": """
