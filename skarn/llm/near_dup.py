@@ -30,7 +30,7 @@ _SEED = (stream(11, TOKENS + BYTES) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 _FACTOR = (stream(12, TOKENS + BYTES) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 
 
-def missed(trees: int, similarity: float = 0.75, branches: int = 3, levels: int = 0) -> float:
+def missed(trees: int, similarity: float = 0.75, branches: int = 2, levels: int = 0) -> float:
     """Probability that a pair of this similarity meets in no node: in each tree it must agree on the first token, and
     on one of ``branches`` more at each further level."""
     met = similarity * (1 - (1 - similarity) ** branches) ** levels
@@ -153,24 +153,36 @@ def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in column]
 
 
-def _nodes(reps: DataFrame, trees: int, branches: int, node_size: int, levels: int) -> DataFrame:
-    """(node, doc) of all nodes with two documents or more that are compared."""
-    rows = reps.select("doc", F.posexplode(F.slice("tokens", 1, trees)).alias("c", "v")).select(F.xxhash64("c", "v").alias("node"), "doc")
+def _nodes(reps: DataFrame, trees: int, branches: int, node_size: int, levels: int, dense: float) -> DataFrame:
+    """(node, doc, size) of all nodes with two documents or more that are compared. A node over ``node_size`` branches,
+    unless it kept more than the share ``dense`` of its parent: then its documents are alike, and further tokens would
+    only repeat it, while the search for links in it takes a few passes."""
+    rows = reps.select("doc", F.posexplode(F.slice("tokens", 1, trees)).alias("c", "v")).select(F.xxhash64("c", "v").alias("node"), "doc", F.lit(None).cast("long").alias("parent"))
     out = None
     for level in range(levels + 1):
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         sized = written(rows.join(counts, "node"), f"nodes-{level}")
-        small = sized if level == levels else sized.where(F.col("size") <= node_size)
-        out = small.select("node", "doc") if out is None else out.union(small.select("node", "doc"))
-        large = sized.where(F.col("size") > node_size)
-        if level == levels or large.isEmpty():
+        large = (F.col("size") > node_size) & (F.col("parent").isNull() | (F.col("size") <= dense * F.col("parent"))) & F.lit(level < levels)
+        small = sized.where(~large).select("node", "doc", "size")
+        out = small if out is None else out.union(small)
+        if level == levels or sized.where(large).isEmpty():
             return out
         chosen = F.transform(F.sequence(F.lit(1), F.lit(branches)), lambda j: F.pmod(F.xxhash64("node", j), F.lit(TOKENS)).cast("int"))
-        rows = large.join(reps.select("doc", "tokens"), "doc").select("node", "doc", "tokens", F.explode(F.array_distinct(chosen)).alias("c")).select(F.xxhash64("node", "c", F.element_at("tokens", F.col("c") + 1)).alias("node"), "doc")
+        rows = sized.where(large).join(reps.select("doc", "tokens"), "doc").select("node", "doc", "size", "tokens", F.explode(F.array_distinct(chosen)).alias("c"))
+        rows = rows.select(F.xxhash64("node", "c", F.element_at("tokens", F.col("c") + 1)).alias("node"), "doc", F.col("size").alias("parent"))
     return out
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 75, trees: int = 10, branches: int = 4, node_size: int = 256, levels: int = 4, task_shingles: int = 2_000_000) -> DataFrame:
+def _block_pairs(rows: DataFrame, parts, group: str, *columns: str) -> DataFrame:
+    """Rows of a group cut into ``parts`` blocks: a row goes to every pair of blocks that has its own, so a pair of
+    documents meets in a task whose size has a bound. With one part the group is one task's."""
+    part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
+    pair = (F.least(part, F.col("other")) * F.lit(1 << 31) + F.greatest(part, F.col("other"))).cast("long").alias("pair")
+    paired = rows.withColumn("parts", parts).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return paired.select(group, pair, "doc", *columns).repartition(group, "pair").sortWithinPartitions(group, "pair", "doc")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 75, trees: int = 8, branches: int = 2, node_size: int = 8192, levels: int = 4, dense: float = 0.6, task_docs: int = 500_000, task_shingles: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per input row."""
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
 
@@ -185,10 +197,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     member = written(signs.select("doc", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("doc", "n", "rep"), "members")
     chosen = written(signs.join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.min_by(F.struct("n", "tokens", "sketch"), F.struct("f1", "f2")).alias("x")).select("doc", "x.*"), "reps")
 
-    nodes = _nodes(chosen, trees, branches, node_size, levels)
+    nodes = _nodes(chosen, trees, branches, node_size, levels, dense)
     least = int(BYTES * (percent / 100 - 0.25))
-    compared = nodes.join(chosen.select("doc", "sketch"), "doc").select("node", "doc", "sketch").repartition("node").sortWithinPartitions("node", "doc")
-    coarse = components(compared.mapInArrow(lambda b: _links_of(b, 1, _sketches, lambda s: sketch_links(s, least)), "a long, b long"))
+    compared = _block_pairs(nodes.join(chosen.select("doc", "sketch"), "doc"), F.ceil(F.col("size") / task_docs).cast("int"), "node", "sketch")
+    coarse = components(compared.mapInArrow(lambda b: _links_of(b, 2, _sketches, lambda s: sketch_links(s, least)), "a long, b long"))
 
     coarse = coarse.join(chosen.select(F.col("doc").alias("id"), "n"), "id")
     sizes = coarse.groupBy("component").agg(F.ceil(F.sum("n") / task_shingles).cast("int").alias("parts"))
@@ -201,9 +213,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], names=["component", "parts", "doc", "shingles"])
 
     whole = rows.join(placed, rows.doc == placed.id).select("component", "parts", "doc", "text").mapInArrow(sets, "component long, parts int, doc long, shingles binary")
-    part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
-    paired = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("component", (F.least(part, "other") * F.lit(1 << 31) + F.greatest(part, "other")).cast("long").alias("pair"), "doc", "shingles")
-    paired = paired.repartition("component", "pair").sortWithinPartitions("component", "pair", "doc")
+    paired = _block_pairs(whole, F.col("parts"), "component", "shingles")
     final = components(paired.mapInArrow(lambda b: _links_of(b, 2, _sets, lambda s: exact_links(s, percent)), "a long, b long"))
 
     joined = member.join(final, member.rep == final.id, "left").select("doc", "n", F.coalesce("component", "rep", "doc").alias("component_id"))
