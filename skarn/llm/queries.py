@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination_report
 from .html import extract_pages
+from .licenses import TEMPLATES, classes, default_templates, license_scan
 from .line_dedup import line_report
 from .near_dup import near_duplicates
 from .packing import pack
@@ -38,6 +40,10 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"), default_templates(spark))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -59,7 +65,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_output, op3_decontaminate, op4_substring, op6_html, op7_near_dup, op8_packing, op9_quality, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_token_output, op3_decontaminate, op4_substring, op5_licenses, op6_html, op7_near_dup, op8_packing, op9_quality, op10_warc)}
+
+_CLASSES = classes({len([w for w in re.split("[^a-z0-9]+", t.lower()) if w]): 1 for _, t in TEMPLATES})
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": """
@@ -85,6 +93,21 @@ ORACLE_SQL: dict[str, str] = {
         o AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM t ANTI JOIN g USING (doc_id, p) GROUP BY t.doc_id)
         SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN k USING (doc_id) LEFT JOIN o USING (doc_id)""",
+    # every run of a template's shingles in every window of the template's length class, by exact comparison
+    "op5_licenses": """
+        WITH t(template_id, text) AS (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES) + """),
+        tw AS (SELECT template_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM t),
+        tc AS (SELECT template_id, w, least(len(w), 5) AS k, CAST(sizes.s AS BIGINT) AS s FROM tw JOIN (VALUES """
+    + ", ".join(f"({n}, {s})" for n, s in _CLASSES.items())
+    + """) sizes(n, s) ON len(w) = sizes.n),
+        ts AS (SELECT template_id, k, s, list_distinct(list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS x FROM tc),
+        d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents),
+        ds AS (SELECT doc_id, i, array_to_string(w[i : i + c.k - 1], ' ') AS x, c.k, len(w) AS n FROM d, (SELECT DISTINCT k FROM ts) c, unnest(generate_series(1, len(w) - c.k + 1)) AS u(i)),
+        hit AS (SELECT ds.doc_id, ds.i, ds.n, ts.template_id, ts.s, ts.k, len(ts.x) AS n_shingles, ds.x FROM ds JOIN (SELECT *, unnest(x) AS y FROM ts) ts ON ds.x = ts.y AND ds.k = ts.k),
+        win AS (SELECT doc_id, template_id, n_shingles, x, unnest(generate_series(0, (s + greatest(1, s // 4) - k) // greatest(1, s // 4) + 1)) AS back, i, s, k, greatest(1, s // 4) AS step FROM hit),
+        inw AS (SELECT DISTINCT doc_id, template_id, n_shingles, x, ((i - 1) // step - back) * step + 1 AS q FROM win WHERE ((i - 1) // step - back) >= 0 AND i + k <= ((i - 1) // step - back) * step + 1 + s + step),
+        best AS (SELECT doc_id, template_id, n_shingles, q, count(*) AS c FROM inw GROUP BY ALL HAVING count(*) >= 0.75 * n_shingles)
+        SELECT doc_id, template_id, CAST(max(c) AS INT) AS n_shared, CAST(max(n_shingles) AS INT) AS n_shingles, round(max(c) / max(n_shingles), 6) AS containment FROM best GROUP BY doc_id, template_id""",
     "op7_near_dup": """
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
