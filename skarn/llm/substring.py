@@ -93,7 +93,8 @@ def duplicate_spans(rows: DataFrame, window: int = 35, seed: int = 12) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(content), pa.array(ids[a + text]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["seed", "content", "row", "start", "n"])
 
     every = written(rows.where("row is not null").mapInArrow(cut, SEGMENT), "segments")
-    known = every.groupBy("seed").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("seed")
+    # written, so that a hot seed's rows on the other side of the join can be split
+    known = written(every.groupBy("seed").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("seed"), "seeds")
     met = written(every.join(known, "seed"), "segments-met")
     copies = met.groupBy("seed", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start", "n")).alias("ref"))
     parsed = written(met.join(copies.select("seed", "content", "copies"), ["seed", "content"]), "segments-parsed")
