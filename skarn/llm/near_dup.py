@@ -193,7 +193,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1), pa.array(f2), lists, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc", "n", "f1", "f2", "tokens", "sketch"])
 
     signs = written(rows.mapInArrow(sign, SIGNED), "signed")
-    classes = signs.where("n > 0 and doc is not null").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep"))
+    # written, so that a hot class's rows on the other side of the join can be split
+    classes = written(signs.where("n > 0 and doc is not null").groupBy("n", "f1", "f2").agg(F.min("doc").alias("rep")), "classes")
     member = written(signs.select("doc", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("doc", "n", "rep"), "members")
     chosen = written(signs.join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.min_by(F.struct("n", "tokens", "sketch"), F.struct("f1", "f2")).alias("x")).select("doc", "x.*"), "reps")
 
