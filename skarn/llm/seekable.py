@@ -64,13 +64,17 @@ class Reader:
         files, path = open_fs(uri)
         self.file = files.open_input_file(path)
         size = self.file.size()
+        if size < 9:
+            raise ValueError(f"{path} is too short for a seek table")
         count, flags, magic = struct.unpack("<IBI", self.file.read_at(9, size - 9))
-        if magic != SEEK_MAGIC or flags != CHECKSUMS:
+        if magic != SEEK_MAGIC or flags != CHECKSUMS or 17 + 12 * count > size:
             raise ValueError(f"{path} has no seek table with checksums at its end")
         self.table = np.frombuffer(self.file.read_at(12 * count, size - 9 - 12 * count), dtype="<u4").reshape(-1, 3).astype(np.int64)
         self.at = np.concatenate(([0], np.cumsum(self.table[:, 0])))
         self.unzip = zstandard.ZstdDecompressor()
         end, last = int(self.at[-1]), size - 17 - 12 * count
+        if end + 8 > last:
+            raise ValueError(f"{path}: the seek table does not fit the file")
         kind, length = struct.unpack("<II", self.file.read_at(8, end))
         if kind != SKIP_OWN or end + 8 + length != last:
             raise ValueError(f"{path} has no directory before its seek table")
