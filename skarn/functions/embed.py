@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -14,28 +15,33 @@ from pyspark.sql import functions as F
 _SEED, _PRIME, _SEED2, _PRIME2, _MASK = 0x811C9DC5, 0x01000193, 0x55555555, 0x5BD1E995, 0xFFFFFFFF
 
 
-def _place(h: int, dim: int) -> int:
-    """The magnitude of the 32-bit value as a signed one, modulo the dimension."""
-    return (h if h < 1 << 31 else (1 << 32) - h) % dim
+_APART = re.compile(r"[^a-z0-9_]+")
+
+
+@functools.lru_cache(maxsize=200_000)
+def _hashes(word: str) -> tuple[int, int]:
+    h1, h2 = _SEED, _SEED2
+    for c in word.encode():
+        h1 = ((h1 ^ c) * _PRIME) & _MASK
+        h2 = ((h2 ^ (c << 3)) * _PRIME2) & _MASK
+    return h1, h2
 
 
 def hash_embedding(text: str | None, dim: int = 384) -> np.ndarray:
     """Each word adds to up to three places, by two hashes and the length of the word before; unit length. A text
     without a word is the zero vector. Words are ASCII: anything else separates."""
-    v = np.zeros(dim)
-    words = [w for w in re.split(r"[^a-z0-9_]+", (text or "").lower()) if w]
-    for i, word in enumerate(words):
-        h1, h2 = _SEED, _SEED2
-        for c in word.encode():
-            h1 = ((h1 ^ c) * _PRIME) & _MASK
-            h2 = ((h2 ^ (c << 3)) * _PRIME2) & _MASK
-        w = 1 / np.sqrt(i + 1)
-        v[_place(h1, dim)] += w
-        v[_place(h2, dim)] += 0.7 * w
-        if i:
-            v[_place(h1 ^ (31 * len(words[i - 1])), dim)] += 0.5 * w
-    n = np.sqrt(v @ v)
-    return v / n if n else v
+    words = [w for w in _APART.split((text or "").lower()) if w]
+    if not words:
+        return np.zeros(dim)
+    hashes = np.array([_hashes(w) for w in words], dtype=np.int64)
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    pairs = hashes[1:, 0] ^ (31 * sizes[:-1])
+    weight = 1 / np.sqrt(np.arange(1, len(words) + 1))
+    places = np.concatenate((hashes[:, 0], hashes[:, 1], pairs))
+    # a 32-bit value counts by its magnitude as a signed one
+    places = np.where(places < 1 << 31, places, (1 << 32) - places) % dim
+    v = np.bincount(places, np.concatenate((weight, 0.7 * weight, 0.5 * weight[1:])), dim)
+    return v / np.sqrt(v @ v)
 
 
 def embedder(model: Callable[[str | None], np.ndarray] | None = None, dim: int = 384) -> Callable[[Column], Column]:

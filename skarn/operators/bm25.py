@@ -16,7 +16,8 @@ def _tokenized(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 @dataclass
 class BM25Index:
-    """postings (term, id, tf), lengths (id, dl) and the constants. Documents without a token count in N and avgdl."""
+    """postings (term, id, tf, dl), lengths (id, dl) and the constants. A posting holds its document's length, so a search
+    joins nothing as large as the corpus. Documents without a token count in N and avgdl."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -26,7 +27,7 @@ class BM25Index:
     @staticmethod
     def build(docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> BM25Index:
         rows = _tokenized(docs, key, text)
-        postings = rows.select("id", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        postings = rows.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
         return BM25Index(postings, rows.select("id", F.size("words").alias("dl")), k1, b)
 
     def stats(self) -> DataFrame:
@@ -51,7 +52,7 @@ class BM25Index:
         terms = F.broadcast(asked) if small else asked
         met = self.postings.join(F.broadcast(asked.select("term").distinct()) if small else asked.select("term").distinct(), "term", "left_semi")
         df = met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        rows = met.join(terms, "term").join(F.broadcast(df) if small else df, "term").join(self.lengths, "id")
+        rows = met.join(terms, "term").join(F.broadcast(df) if small else df, "term")
         if where is not None:
             rows = rows.where(where)
         rows = rows.crossJoin(F.broadcast(self.stats()))

@@ -247,7 +247,7 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {TOK}, {POST} SELECT * FROM post")
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.BM25Index.build(table(spark, d, "documents")).postings
+    return bm25.BM25Index.build(table(spark, d, "documents")).postings.select("term", "id", "tf")
 
 
 @query(f"WITH {TOK}, {STATS} SELECT n, CAST(total_dl AS BIGINT) AS total_dl, round(avgdl, 6) AS avgdl FROM st")
