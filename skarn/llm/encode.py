@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from .kernel import HELD
+
 #: Pieces remembered per process; beyond this number the memory starts anew.
 REMEMBERED = 600_000
 #: Python calls these white space and the library's pattern may not.
@@ -125,6 +127,7 @@ class Encoder:
         self.letters = _Letters(self.tokenizer)
         self.alone = _Pieces(self._library, self._word)
         self.spaced = _Spaced(self._library, self._word, self.alone)
+        HELD.extend((self.alone, self.spaced))
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()

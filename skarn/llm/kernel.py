@@ -12,7 +12,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 2 << 20
+#: Bytes in a block; with one more value, its tables have a power of two of entries.
+BLOCK = (1 << 20) - 1
+#: What tasks of another kind may have left in this process, which Spark uses again: dropped when blocks are next cut.
+HELD: list[dict] = []
 _U = np.uint64
 
 
@@ -82,6 +85,8 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
     """Runs [low, high) of texts with at most ``size`` bytes, or of one longer text."""
+    for memory in HELD:
+        memory.clear()
     low, n = 0, len(offsets) - 1
     while low < n:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + size, side="right")) - 1)
