@@ -201,15 +201,16 @@ def compact(nodes: DataFrame, tombstones: DataFrame, config: GraphConfig = Graph
 def drop_tombstones(nodes: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Without deleted nodes: the rest renumbered in order, links to deleted ones left out. All within a shard."""
 
-    def renumber(rows: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
-        live = rows[~rows.id.isin(gone.id)].sort_values("node").copy()
+    def renumber(rows: pd.DataFrame) -> pd.DataFrame:
+        live = rows[rows.gone.isna()].sort_values("node").copy()
         new = {old: k for k, old in enumerate(live.node.tolist())}
         live["neighbors"] = [[[new[n] for n in layer if n in new] for layer in layers] for layers in live.neighbors]
         live["node"] = list(range(len(live)))
         return live[["shard", "node", "id", "level", "vector", "neighbors"]]
 
-    gone = nodes.select("shard", "id").join(tombstones.select(F.col(tombstones.columns[0]).alias("id")), "id", "left_semi").select("shard", "id")
-    return nodes.groupBy("shard").cogroup(gone.groupBy("shard")).applyInPandas(renumber, NODES)
+    dead = tombstones.select(F.col(tombstones.columns[0]).alias("id"), F.lit(True).alias("gone")).distinct()
+    marked = nodes.join(dead, "id", "left")
+    return marked.groupBy("shard").applyInPandas(renumber, NODES)
 
 
 def prune_links(links: DataFrame, most: int) -> DataFrame:

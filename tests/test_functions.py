@@ -77,7 +77,7 @@ def test_text(spark):
     assert [r[0] for r in names.select(text.url_filename(F.col("u"))).collect()] == ["d.txt", "remote_document.txt", "remote_document.txt", "remote_document.txt"]
     marks = spark.createDataFrame([("A cat+ and CAT+s",)], "t string").select(text.highlight(F.col("t"), "cat+ an")).first()[0]
     assert marks == "A <mark>cat+</mark> and <mark>CAT+</mark>s"
-    kinds = spark.createDataFrame([("a.PY",), ("b.pdf",), ("c",)], "n string").select(text.document_kind(F.col("n"))).collect()
+    kinds = spark.createDataFrame([("a.PY",), ("b.pdf",), ("c.md",)], "n string").select(text.document_kind(F.col("n"))).collect()
     assert [k[0] for k in kinds] == ["code", "pdf", "text"]
     assert spark.range(1).select(text.percent(F.lit(0.125)), text.token_estimate(F.lit("abcdef")), text.token_estimate(F.lit(""))).first() == (13, 2, 1)
 
