@@ -17,7 +17,9 @@ templates raise an error instead of growing a broadcast.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,9 +107,8 @@ def license_scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", tex
     top = classes({len(r.w): 1 for r in rows})
 
     low = F.lower(F.col(text).cast("string"))
-    sieve = F.lit(False)
-    for k in keys:
-        sieve = sieve | F.contains(low, F.lit(k))
+    # the lambda's variable is the lower-case text, made once for all words
+    sieve = F.exists(F.array(low), lambda t: functools.reduce(operator.or_, (F.contains(t, F.lit(k)) for k in keys)))
     near = written(docs.where(sieve).select(F.col(key).cast("long").alias("doc_id"), words_of(F.col(text)).alias("w")), "sieved")
     found = None
     for size in sorted(set(top.values())):
