@@ -6,8 +6,8 @@ one window. MinHash bands of one row each retrieve the templates of a window; th
 Jaccard similarity that a sufficient match can have in its window, so that it is missed with a probability under
 ``miss``. Exact containment of the template's shingles in the window then decides.
 
-Before the bands a lossless sieve: a match shares a shingle with its template, hence that shingle's longest word. A
-document or window without any of these words holds no match.
+Before the bands a lossless sieve: words of each template, the longest first, that lie in more of its shingles than a
+match may lack. A document or window without any of these words holds no match.
 
 Nulls: null texts hold nothing; templates without a word or an id are not used. Templates shorter than a shingle are one
 shingle of all their words. Repeated documents each give their rows (a row per id and template); an empty table or no
@@ -91,6 +91,18 @@ def band_count(least: int, window: int, containment: float, miss: float) -> int:
     return 1 if similarity >= 1 else math.ceil(math.log(miss) / math.log(1 - similarity))
 
 
+def sieve_words(shingles: list[str], containment: float) -> set[str]:
+    """Words so that any sufficient share of the shingles has one of them."""
+    left, chosen = [s.split(" ") for s in shingles], set()
+    spare = len(shingles) - math.ceil(containment * len(shingles) - 1e-9)
+    for word in sorted({w for s in left for w in s}, key=lambda w: (-len(w), w)):
+        if len(shingles) - len(left) > spare:
+            break
+        chosen.add(word)
+        left = [s for s in left if word not in s]
+    return chosen
+
+
 def license_scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str = "text", template: str = "template_id", template_text: str = "text", containment: float = 0.75, miss: float = 1e-5, most: int = 5_000) -> DataFrame:
     """(doc_id, template_id, n_shared, n_shingles, containment) of each template that a window of the document holds:
     the most shingles shared in one window, those of the template, and their ratio."""
@@ -103,7 +115,7 @@ def license_scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", tex
         raise ValueError(f"more than {most} templates; scan in parts")
     if not rows:
         return spark.createDataFrame([], result)
-    keys = sorted({max(s.split(" "), key=lambda w: (len(w), w)) for r in rows for s in r.shingles})
+    keys = sorted({w for r in rows for w in sieve_words(r.shingles, containment)})
     top = classes({len(r.w): 1 for r in rows})
 
     low = F.lower(F.col(text).cast("string"))
@@ -118,7 +130,7 @@ def license_scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", tex
         bands = band_count(min(len(r.shingles) for r in own), span - k + 1, containment, miss)
         starts = F.sequence(F.lit(1), F.greatest(F.size("w") - F.lit(k - 1), F.lit(1)), F.lit(step))
         windows = near.select("doc_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, span))).alias("v"))
-        windows = windows.where(F.arrays_overlap("v", F.array(*map(F.lit, sorted({x for r in own for s in r.shingles for x in [max(s.split(" "), key=lambda w: (len(w), w))]})))))
+        windows = windows.where(F.arrays_overlap("v", F.array(*map(F.lit, sorted({w for r in own for w in sieve_words(r.shingles, containment)})))))
         windows = windows.select("doc_id", shingles_of(F.col("v"), k).alias("seen")).where(F.size("seen") > 0)
         windows = windows.withColumn("bands", bands_of(F.col("seen"), bands))
         mine = spark.createDataFrame([(r.template_id, r.shingles) for r in own], "template_id string, shingles array<string>")
