@@ -25,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(_table(spark, sf_dir, "documents"))
+    return line_report(_table(spark, sf_dir, "documents"), hamming=None)
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,6 +295,27 @@ def test_lines(spark):
     assert [x.n_removed for x in line_dedup.line_report(odd).collect()] == [0, 0, 0]
 
 
+def test_lines_by_edit_similarity_alone(spark):
+    r, vocab = random.Random(18), vocabulary(9, 3000)
+    lines = []
+    for k in range(200):
+        w = [r.choice(vocab) for _ in range(r.randint(8, 40))]
+        lines.append(" ".join(w))
+        for _ in range(max(1, len(w) // 12)):
+            w[r.randrange(len(w))] = r.choice(vocab)
+        lines.append(" ".join(w))
+    lines += ["see the licence below", "see the license below", "a line of seven words with more", "a line of seven words with more too"]
+    near = {(a, b) for b in range(len(lines)) for a in range(b) if line_dedup.similar(lines[a], lines[b], 0.85)}
+    assert len(near) > 150
+    docs = frame(spark, lines).repartition(3)
+    # each pair apart from the others, so a line is dropped if and only if its pair was found
+    assert len({a for a, _ in near} | {b for _, b in near}) == 2 * len(near)
+    for params in ({}, {"task_lines": 3, "task_chars": 500}):
+        gone = {x.doc_id for x in line_dedup.line_report(docs, hamming=None, **params).collect() if x.n_removed}
+        assert gone <= {b for _, b in near} and len(gone) >= 0.97 * len(near)
+    assert line_dedup.met(9 / 11) > 0.999 and line_dedup.met(7 / 9) > 0.99
+
+
 def test_licenses(spark):
     filler = " ".join(vocabulary(3, 200))
     full = dict(licenses.TEMPLATES)
