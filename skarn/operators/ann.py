@@ -169,21 +169,27 @@ def build_graph(vectors: DataFrame, config: GraphConfig = GraphConfig(), shard_v
 
 def search_graph(nodes: DataFrame, queries: DataFrame, k: int = 10, config: GraphConfig = GraphConfig(), ef: int | None = None, allowed: DataFrame | None = None, tombstones: DataFrame | None = None, query_key: str = "vec_id", column: str = "embedding", most_queries: int = 20_000) -> DataFrame:
     """(qid, id, distance, score, rank). ``allowed`` and ``tombstones`` (ids in their first column) filter what the beam
-    found, with a beam twice as wide; deleted nodes still lead the way. Queries are counted before they are broadcast."""
+    found, with a beam twice as wide; deleted nodes still lead the way. Up to
+    ``most_queries`` queries are broadcast, counted first; more pass in blocks of about that size."""
     asked = queries.select(F.col(query_key).cast("long").alias("q"), F.col(column).cast("array<double>").alias("v"))
-    if asked.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"search at most {most_queries} queries at once")
-    block = asked.toPandas()
-    shared = nodes.sparkSession.sparkContext.broadcast((block.q.to_numpy(), list(block.v)))
+    parts = max(1, -(-asked.count() // most_queries))
     filtered = allowed is not None or tombstones is not None
     width = max(k, ef or config.ef_search) * (2 if filtered else 1)
 
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        graph, ids = Graph.restore(rows, config), rows.sort_values("node").id.to_numpy()
-        out = [(qid, ids[n], d) for qid, q in zip(*shared.value, strict=True) for d, n in graph.search(np.asarray(q), width)[: width if filtered else k]]
-        return pd.DataFrame(out, columns=["qid", "id", "distance"])
+    def searched(shared):
+        def search(rows: pd.DataFrame) -> pd.DataFrame:
+            graph, ids = Graph.restore(rows, config), rows.sort_values("node").id.to_numpy()
+            out = [(qid, ids[n], d) for qid, q in zip(*shared.value, strict=True) for d, n in graph.search(np.asarray(q), width)[: width if filtered else k]]
+            return pd.DataFrame(out, columns=["qid", "id", "distance"])
 
-    found = nodes.groupBy("shard").applyInPandas(search, "qid long, id long, distance double")
+        return search
+
+    found = None
+    for part in range(parts):
+        block = (asked if parts == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part)).toPandas()
+        shared = nodes.sparkSession.sparkContext.broadcast((block.q.to_numpy(), list(block.v)))
+        some = nodes.groupBy("shard").applyInPandas(searched(shared), "qid long, id long, distance double")
+        found = some if found is None else found.union(some)
     if allowed is not None:
         found = found.join(allowed.select(F.col(allowed.columns[0]).alias("id")), "id", "left_semi")
     if tombstones is not None:
@@ -225,5 +231,5 @@ def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
 
 
 def audit(vectors: DataFrame, queries: DataFrame, k: int = 10, config: GraphConfig = GraphConfig(), ef: int | None = None) -> DataFrame:
-    """Recall of the graph against the exact scan, on queries that are not in the index."""
+    """Recall of the graph against the exact scan, of the same vectors."""
     return recall(search_graph(build_graph(vectors, config), queries, k, config, ef), knn_batch(vectors, queries, k, config.metric), k)

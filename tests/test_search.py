@@ -133,3 +133,20 @@ def test_figures(spark):
     r = metrics.latency(rows).first()
     assert (r.iterations, r.p50, r.p95, r.p99, r.qps) == (100, 51, 96, 100, 20)
     assert [x[0] for x in spark.createDataFrame([(96.0,), (80.0,), (10.0,)], "r double").select(metrics.grade(F.col("r"))).collect()] == ["green", "amber", "red"]
+
+
+def test_graph_queries_search_the_whole_table_in_blocks(spark, tmp_path):
+    from skarn import queries
+
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 16))
+    rows = [(i, i % 10, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    vectors = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    asked = vectors.where("vec_id % 50 = 0")
+    exact = knn.knn_batch(vectors, asked, 10)
+    found = queries.hnsw_search(spark, str(tmp_path))
+    assert {(a.qid, a.id) for a in found.where("rank = 1").collect()} == {(i, i) for i in range(0, 400, 50)}
+    assert ann.recall(found, exact, 10).first().recall >= 95
+    blocks = ann.search_graph(ann.build_graph(vectors), asked, 10, ef=64, most_queries=3)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, found.collect()))
