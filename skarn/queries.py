@@ -545,7 +545,7 @@ def pca_project3d(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def tsne_points(spark: SparkSession, d: str) -> DataFrame:
-    return project.tsne_points(table(spark, d, "embeddings").where("label = 3"))
+    return project.tsne_points(table(spark, d, "embeddings"))
 
 
 _POINTS = "SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings"

@@ -221,3 +221,11 @@ def test_camera(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "id long, x double, y double, z double")
     r = project.camera(points, math.pi / 3, 0.2).first()
     assert (r.sx, r.sy, r.depth, r.scale) == (400, 300, 2.5, 120)
+
+
+def test_tsne_query_projects_every_vector(spark, tmp_path):
+    from skarn import queries
+
+    rows = [(i, i % 10, [float(i % 7), float(i % 3), 1.0]) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r.id for r in queries.tsne_points(spark, str(tmp_path)).collect()} == set(range(40))
