@@ -2,13 +2,15 @@
 
 A document's set is its distinct word shingles. Documents with equal sets form one class, and one of each class goes
 on. In the join, documents that share a selected minwise token meet in a node of a tree; a node with few documents is
-compared exhaustively, a larger one branches by further tokens, and independent trees repeat it until a pair at the
-threshold is missed with the probability given in ``missed``. Comparison in a node is by 64 minwise bytes with a wide
+compared exhaustively, a larger one branches by further tokens, and other trees with other first tokens repeat it until a pair
+at the threshold is missed with the probability given in ``missed``: under 1e-5 where the first nodes are compared,
+about 1e-4 where all nodes branch four times. Comparison in a node is by 64 minwise bytes with a wide
 margin and yields a forest, not all pairs. The forests' components then get the full sets, and the exact similarity
-decides. A component too large for a task is cut into blocks, and every pair of blocks meets.
+decides. A node or component with many documents is cut into blocks, and every pair of blocks meets in a task of its own.
 
 Nulls: a null text has an empty set, linked with nothing; rows with a null id are classes of their own (component
-null, kept). Rows that share an id count as one document with several texts. Empty tables give empty results.
+null, kept). Rows that share an id count as one document with several texts. Texts of any length are read whole. Of
+equal texts the smallest id is kept. Empty tables give empty results; other columns pass through ``near_dedup`` untouched.
 """
 
 from __future__ import annotations
@@ -17,24 +19,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import BLACK, Words, blocks, column_bytes, mix, shingle_sets, stream
-from .shared import written
+from .shared import fresh, quoted, written
 
-TOKENS, BYTES = 16, 64
+#: Trees, each with a first token of its own; groups of further tokens, one of them to branch by at each level of a path.
+TREES, GROUPS, BRANCHES = 10, 6, 5
+TOKENS, BYTES = TREES + GROUPS * BRANCHES, 48
 SIGNED = "doc long, n long, f1 long, f2 long, tokens array<int>, sketch binary"
 _SEED = (stream(11, TOKENS + BYTES) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 _FACTOR = (stream(12, TOKENS + BYTES) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
 
 
-def missed(trees: int, similarity: float = 0.75, branches: int = 2, levels: int = 0) -> float:
-    """Probability that a pair of this similarity meets in no node: in each tree it must agree on the first token, and
-    on one of ``branches`` more at each further level."""
-    met = similarity * (1 - (1 - similarity) ** branches) ** levels
-    return (1 - met) ** trees
+def group_at(tree: int, level: int) -> int:
+    """The group of tokens that a node of a tree branches by: another one at each level of a path, up to GROUPS levels."""
+    return (tree + level * (1 if tree < GROUPS else GROUPS - 1)) % GROUPS
+
+
+def missed(similarity: float = 0.75, levels: int = 0, trees: int = TREES, draws: int = 400_000) -> float:
+    """The share of pairs of this similarity that meet in no node if all nodes branch this often, counted over random
+    agreements of tokens: a pair must agree on a tree's first token and on one of a group at each further level, and
+    trees share groups. Pairs that a node compares at once are missed less often."""
+    agree = np.random.default_rng(1).random((draws, TOKENS)) < similarity
+    groups = agree[:, TREES:].reshape(draws, GROUPS, BRANCHES).any(axis=2)
+    met = np.zeros(draws, dtype=bool)
+    for tree in range(trees):
+        met |= np.logical_and.reduce([agree[:, tree], *(groups[:, group_at(tree, level)] for level in range(levels))])
+    return 1 - float(met.mean())
 
 
 def signed(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,6 +95,41 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
+def run_edges(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.Array]]]:
+    """Whole runs of equal keys (the first ``keys`` columns, longs) of batches sorted by them, many at a time: the values
+    of the next column (longs), where each run begins and the last ends, and the columns from that one on."""
+
+    def edges_of(columns: list) -> np.ndarray:
+        values = np.stack([c.to_numpy() for c in columns[:keys]])
+        return np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
+
+    def packed(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+        columns = [c.combine_chunks() for c in pa.Table.from_batches(held).columns]
+        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        first = np.concatenate(([0], edges_of(columns), [len(columns[0])]))
+        return columns[keys].to_numpy(), first, columns[keys:]
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edges = edges_of(batch.columns)
+        goes_on = bool(held) and all(held[0].column(k)[0].as_py() == batch.column(k)[0].as_py() for k in range(keys))
+        cut = int(edges[-1]) if len(edges) else 0
+        if cut or (held and not goes_on):
+            yield packed([*held, *([batch.slice(0, cut)] if cut else [])])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield packed(held)
+
+
+def parts_of(size: Column, task: int) -> Column:
+    """Blocks of a group: one up to ``task`` rows, then up to 8, and beyond that blocks of at most 64 times as many."""
+    return F.greatest(F.least(F.ceil(size / task), F.lit(8)), F.ceil(size / (64 * task))).cast("int")
+
+
 def forest(n: int, near) -> list[tuple[int, int]]:
     """Links that join whatever ``near(p, others)`` joins: a search that compares only what no link has reached."""
     left, out = np.arange(1, n), []
@@ -153,23 +202,25 @@ def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in column]
 
 
-def _nodes(reps: DataFrame, trees: int, branches: int, node_size: int, levels: int, dense: float) -> DataFrame:
+def _nodes(reps: DataFrame, trees: int, node_size: int, levels: int, dense: float) -> DataFrame:
     """(node, doc, size) of all nodes with two documents or more that are compared. A node over ``node_size`` branches,
     unless it kept more than the share ``dense`` of its parent: then its documents are alike, and further tokens would
     only repeat it, while the search for links in it takes a few passes."""
-    rows = reps.select("doc", F.posexplode(F.slice("tokens", 1, trees)).alias("c", "v")).select(F.xxhash64("c", "v").alias("node"), "doc", F.lit(None).cast("long").alias("parent"))
+    rows = reps.select("doc", F.posexplode(F.slice("tokens", 1, trees)).alias("tree", "v")).select(F.xxhash64("tree", "v").alias("node"), "doc", "tree", F.lit(None).cast("long").alias("parent"))
     out = None
     for level in range(levels + 1):
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        # written, so that the join can split a node that many documents share
+        counts = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes-{level}")
         sized = written(rows.join(counts, "node"), f"nodes-{level}")
         large = (F.col("size") > node_size) & (F.col("parent").isNull() | (F.col("size") <= dense * F.col("parent"))) & F.lit(level < levels)
         small = sized.where(~large).select("node", "doc", "size")
         out = small if out is None else out.union(small)
         if level == levels or sized.where(large).isEmpty():
             return out
-        chosen = F.transform(F.sequence(F.lit(1), F.lit(branches)), lambda j: F.pmod(F.xxhash64("node", j), F.lit(TOKENS)).cast("int"))
-        rows = sized.where(large).join(reps.select("doc", "tokens"), "doc").select("node", "doc", "size", "tokens", F.explode(F.array_distinct(chosen)).alias("c"))
-        rows = rows.select(F.xxhash64("node", "c", F.element_at("tokens", F.col("c") + 1)).alias("node"), "doc", F.col("size").alias("parent"))
+        group = F.element_at(F.array(*(F.lit(group_at(t, level)) for t in range(TREES))), F.col("tree") + 1)
+        branches = F.sequence(TREES + group * BRANCHES + 1, TREES + group * BRANCHES + BRANCHES)
+        rows = sized.where(large).join(reps.select("doc", "tokens"), "doc").select("node", "doc", "tree", "size", "tokens", F.explode(branches).alias("c"))
+        rows = rows.select(F.xxhash64("node", "c", F.element_at("tokens", F.col("c"))).alias("node"), "doc", "tree", F.col("size").alias("parent"))
     return out
 
 
@@ -182,9 +233,11 @@ def _block_pairs(rows: DataFrame, parts, group: str, *columns: str) -> DataFrame
     return paired.select(group, pair, "doc", *columns).repartition(group, "pair").sortWithinPartitions(group, "pair", "doc")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 75, trees: int = 8, branches: int = 2, node_size: int = 8192, levels: int = 4, dense: float = 0.6, task_docs: int = 500_000, task_shingles: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 75, trees: int = TREES, node_size: int = 8192, levels: int = 4, dense: float = 0.6, task_docs: int = 1024, task_shingles: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per input row."""
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    if not 0 < trees <= TREES:
+        raise ValueError(f"there are tokens for up to {TREES} trees")
+    rows = docs.select(F.col(quoted(key)).cast("long").alias("doc"), F.col(quoted(text)).cast("string").alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,13 +251,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     member = written(signs.select("doc", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("doc", "n", "rep"), "members")
     chosen = written(signs.join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi").groupBy("doc").agg(F.min_by(F.struct("n", "tokens", "sketch"), F.struct("f1", "f2")).alias("x")).select("doc", "x.*"), "reps")
 
-    nodes = _nodes(chosen, trees, branches, node_size, levels, dense)
+    nodes = _nodes(chosen, trees, node_size, levels, dense)
     least = int(BYTES * (percent / 100 - 0.25))
-    compared = _block_pairs(nodes.join(chosen.select("doc", "sketch"), "doc"), F.ceil(F.col("size") / task_docs).cast("int"), "node", "sketch")
+    compared = _block_pairs(nodes.join(chosen.select("doc", "sketch"), "doc"), parts_of(F.col("size"), task_docs), "node", "sketch")
     coarse = components(compared.mapInArrow(lambda b: _links_of(b, 2, _sketches, lambda s: sketch_links(s, least)), "a long, b long"))
 
     coarse = coarse.join(chosen.select(F.col("doc").alias("id"), "n"), "id")
-    sizes = coarse.groupBy("component").agg(F.ceil(F.sum("n") / task_shingles).cast("int").alias("parts"))
+    sizes = written(coarse.groupBy("component").agg(F.greatest(parts_of(F.count(F.lit(1)), task_docs // 4 or 1), F.ceil(F.sum("n") / task_shingles)).cast("int").alias("parts")), "sets")
     placed = coarse.join(sizes, "component").select("id", "component", "parts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,5 +276,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """The documents of which no smaller id is in their component, all columns as they are."""
-    gone = near_duplicates(docs, key, text, **params).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[key].cast("long") == gone["__gone"], "left_anti")
+    gone, at = fresh(docs.columns, "gone", "at")
+    drops = near_duplicates(docs, key, text, **params).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.withColumn(at, F.col(quoted(key)).cast("long")).join(drops, F.col(at) == F.col(gone), "left_anti").drop(at)

@@ -12,9 +12,11 @@ _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests on one machine), a new local one."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a new local one, on a local master alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skarn-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
         _MADE.append((spark, found))
@@ -36,6 +38,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names like these that no column has, in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
