@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -388,7 +389,60 @@ def test_pages(spark):
         assert all(by[i] == f"Head {i}\n\nBody text of page {i}, long enough." for i in range(8)) and by[None].startswith("Head 77")
         assert by[8] == "alone" and by[9] == ""
     assert html.extract_pages(pages.limit(0)).count() == 0
-    assert {r.host: r.path for r in html.host_paths(pages).collect()}["h.example"] == "/html/body/div.c.story"
+    assert {r.host: r.path for r in html.host_paths(pages).collect()}["h.example"] == html.path_of("html", "body", "div.c.story")
+
+
+LONG = "This sentence is running text, long enough to be told from a label or a link."
+AROUND = (
+    "<html><head><title>T</title><style>p{{}}</style></head><body class='has-sidebar'><header class='site-header'><a href=/>Home</a> Slogan</header><nav><ul><li><a href=/a>One</a></ul></nav>"
+    "<div class='cookie-notice'><p>We use cookies, and say so at some length here.</p></div><div class=breadcrumbs><a href=/>Home</a> / here</div>{}"
+    "<div class='sidebar-left'><p>Other things of interest, told at some length.</p></div><section id=comments><article class=comment><p>A reader says this and that, and more.</p></article></section>"
+    "<form><label>Mail</label><input><button>Send</button></form><div class='share-buttons'>Share it</div><script>var p='<p>no</p>'</script><footer>&copy; nobody</footer></body></html>"
+)
+WRAPPED = ["<article>{}</article>", "<main>{}</main>", "<main><div class=x><article class='post'>{}</article></div></main>", "<div class='story'>{}</div>", "<div id=content><div class='post-body'>{}</div></div>", "<div role=main>{}</div>", "<section class=entry>{}</section>"]
+BODIES = [
+    (f"<h1>Head</h1><p>{LONG}</p><p>{LONG} Again.</p>", ["Head", LONG, f"{LONG} Again."]),
+    (f"<h1>Head</h1><p>{LONG}</p><section><p>{LONG} {LONG}</p><p>{LONG} Third.</p></section>", ["Head", LONG, f"{LONG} {LONG}", f"{LONG} Third."]),
+    (f"<h1>Head</h1><p>{LONG}</p><ul>" + f"<li>{LONG} Item.</li>" * 5 + "</ul>", ["Head", LONG, *[f"{LONG} Item."] * 5]),
+    (f"<h2>Head</h2><p>{LONG}</p><table><tr><th>Key<th>Value<tr><td>{LONG}<td>{LONG} Cell.</table>", ["Head", LONG, "Key", "Value", LONG, f"{LONG} Cell."]),
+    (f"<h1>Head</h1><p class='share-price'>{LONG}</p><p class='form-of-life'>{LONG} Two.</p><div class='response-rate'>{LONG} Three.</div>", ["Head", LONG, f"{LONG} Two.", f"{LONG} Three."]),
+    (f"<header><h1>Head</h1></header><p>{LONG}<p>{LONG} <b>Bold<p>{LONG} End.</b>", ["Head", LONG, f"{LONG} Bold", f"{LONG} End."]),
+    (f"<h1>A &amp; B</h1><p>{LONG} With <a href='/x'>a link</a>,<br>and a break&#33;</p><blockquote><p>{LONG} Quoted.</p></blockquote>", ["A & B", f"{LONG} With a link, and a break!", f"{LONG} Quoted."]),
+    (f"<h1>Head</h1><div>{LONG}</div><div>{LONG} Two.</div><pre>{LONG}\n  code</pre>", ["Head", LONG, f"{LONG} Two.", f"{LONG} code"]),
+    (f"<h1>Head</h1><p>{LONG}</p><div class='ad-slot'>Buy it</div><aside>Aside</aside><div class='social-share'>Share</div><p>{LONG} Last.</p>", ["Head", LONG, f"{LONG} Last."]),
+    (f"<h1>Head</h1><dl><dt>Term<dd>{LONG}<dt>Other<dd>{LONG} Two.</dl><figure><img src=x><figcaption>A caption.</figcaption></figure><p>{LONG}</p>", ["Head", "Term", LONG, "Other", f"{LONG} Two.", "A caption.", LONG]),
+]
+
+
+def test_page_shapes(spark):
+    """Seventy pages by wrapper and body, each on a host of its own and all of one wrapper on one host."""
+    rows, want = [], {}
+    for w, wrapper in enumerate(WRAPPED):
+        for b, (body, blocks) in enumerate(BODIES):
+            for host in (f"own-{w}-{b}", f"all-{w}"):
+                want[len(rows)] = "\n\n".join(blocks)
+                rows.append((len(rows), f"http://{host}/{b}", AROUND.format(wrapper.format(body))))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract_pages(pages).collect()}
+    assert [k for k in want if got[k] != want[k]] == []
+
+
+def test_page_ties_and_odd_markup():
+    assert html.extract("<div class=a><p>same text here</p></div><div class=b><p>same text here</p></div>") == "same text here"
+    assert html.extract("a < b and <3 &lt;p&gt;<!-- x --><![CDATA[y]]>") == "a < b and <3 <p>"
+    assert html.extract("<p>one<p>two</span></div>three</p>") == "one\n\ntwothree"
+    assert html.extract("<p title='unclosed>text</p><p>more</p>") != "" and html.extract("text <b") == "text <b"
+
+
+def test_long_pages_in_linear_time():
+    n = 100_000
+    began = time.monotonic()
+    assert html.extract("<div>" * n + "deep" + "</div>" * n) == "deep"
+    assert html.extract("<p>start</p>" + "<a x=\"" * n).startswith("start")
+    for page in ("<b>" * n, "<p " * n, "<li>x" * n, "<div>" * n + "<td>" * n + "</span>" * n, "<a\">\"" * n, "<a b='" * n + ">", "<!-" * n, "&amp" * n):
+        html.extract(page)
+    assert len(html.extract(f"<article><p>{'long text ' * n}</p></article>")) == 10 * n - 1
+    assert time.monotonic() - began < 60
 
 
 def test_warc(spark):
