@@ -95,19 +95,19 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def run_edges(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.Array]]]:
+def run_edges(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.Array], list[np.ndarray]]]:
     """Whole runs of equal keys (the first ``keys`` columns, longs) of batches sorted by them, many at a time: the values
-    of the next column (longs), where each run begins and the last ends, and the columns from that one on."""
+    of the next column (longs), where each run begins and the last ends, the columns from that one on, and the keys."""
 
     def edges_of(columns: list) -> np.ndarray:
         values = np.stack([c.to_numpy() for c in columns[:keys]])
         return np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
 
-    def packed(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    def packed(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[pa.Array], list[np.ndarray]]:
         columns = [c.combine_chunks() for c in pa.Table.from_batches(held).columns]
         columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
         first = np.concatenate(([0], edges_of(columns), [len(columns[0])]))
-        return columns[keys].to_numpy(), first, columns[keys:]
+        return columns[keys].to_numpy(), first, columns[keys:], [c.to_numpy() for c in columns[:keys]]
 
     held: list[pa.RecordBatch] = []
     for batch in batches:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +61,17 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes tables made by ``written`` that nothing reads any more, and lets Spark remove the files of shuffles that
+    nothing refers to: it does so when the driver's JVM collects what belongs to them."""
+    for table in tables:
+        folders = {f.rpartition("/")[0] for f in table.inputFiles()}
+        for folder in folders:
+            remove(spark, folder)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _remove_all() -> None:
     for spark, path in reversed(_MADE):
