@@ -5,14 +5,15 @@ Documents longer than a sequence are cut into pieces. The plan needs only how ma
 groups of equal cardinality and are rounded up to the largest of their group; for these few sizes the linear programme
 over configurations (what one sequence may hold) is solved by column generation, its solution rounded down. Actual
 lengths then take the places of the rounded ones, all but the smallest of a configuration, and what is left, large and
-small, goes best-fit, longest first. The pieces of sequences that are then not full go best-fit once more.
+small, goes best-fit, longest first. The pieces of sequences that are then not full go best-fit once more. Plans by
+several numbers of groups and borders of what is small are made, one without groups among them, and the smallest wins.
 
 The plan is a list of patterns (the lengths in a sequence, and how many sequences look so). A piece finds its place by
 its rank among the pieces of its length: a rank within its task, counted while tokenising, plus the counts of the tasks
 before. No text is shuffled, and no group of pieces meets in a task.
 
-Nulls: a null text is an empty one (just the end id). Repeated rows and ids are packed each. An empty table gives no
-rows. Other columns are not read.
+Nulls: a null text is an empty one (just the end id). Texts of any length are encoded whole. Repeated rows and ids are
+packed each; pieces of equal length take places in the order of their ranks. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encode import encoder, little_endian_u32
-from .shared import written
+from .shared import quoted, written
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -137,15 +138,39 @@ class _Open:
         return list(merged.items())
 
 
-def packing_plan(counts: dict[int, int], capacity: int, groups: int = 64, small: float = 1 / 4) -> list[Pattern]:
-    """Patterns that hold exactly ``counts`` pieces of each length. Lengths up to ``small`` of the capacity are small."""
+#: (groups, small) of the plans that are made; without groups all pieces go best-fit, longest first.
+SCHEMES = ((64, 1 / 4), (128, 1 / 10), (200, 1 / 5), (200, 1 / 10), (0, 1.0))
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: for each length up to half, pieces too long to share a sequence with one of it
+    have one each, those over half of the capacity have one each too, and the rest must fit their room."""
+    lengths = np.array(sorted(counts), dtype=np.int64)
+    many = np.array([counts[int(x)] for x in lengths], dtype=np.int64)
+    best = -(-int((lengths * many).sum()) // capacity)
+    for k in [0, *lengths[lengths <= capacity // 2].tolist()]:
+        alone, half = lengths > capacity - k, lengths > capacity / 2
+        upper, rest = half & ~alone, (lengths >= k) & ~half
+        room = int(many[upper].sum()) * capacity - int((lengths * many)[upper].sum())
+        best = max(best, int(many[half].sum()) + max(0, -(-(int((lengths * many)[rest].sum()) - room) // capacity)))
+    return best
+
+
+def packing_plan(counts: dict[int, int], capacity: int, schemes: tuple[tuple[int, float], ...] = SCHEMES) -> list[Pattern]:
+    """Patterns that hold exactly ``counts`` pieces of each length: the smallest of the plans by each scheme, so never
+    more sequences than best-fit with the longest first."""
+    return min((_plan(counts, capacity, groups, small) for groups, small in schemes), key=lambda plan: sum(count for _, count in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, groups: int, small: float) -> list[Pattern]:
+    """A plan by up to ``groups`` groups of lengths over ``small`` of the capacity."""
     open_ = _Open(capacity)
     lengths = np.array(sorted(x for x in counts if small * capacity < x < capacity), dtype=np.int64)
     many = np.array([counts[int(x)] for x in lengths], dtype=np.int64)
     rest = {x: c for x, c in counts.items() if x <= small * capacity}
     if counts.get(capacity):
         open_.add((capacity,), counts[capacity])
-    if len(lengths):
+    if len(lengths) and groups:
         runs = grouped(lengths, many, groups)
         sizes = [g[0][0] for g in runs]
         for taken, used in configurations(sizes, np.array([float(sum(c for _, c in g)) for g in runs]), capacity):
@@ -230,7 +255,7 @@ class Places:
         return self.sequence[k] + key - self.keys[k], self.offset[k]
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text", groups: int = 64, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text", schemes: tuple[tuple[int, float], ...] = SCHEMES, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row per piece; ``with_ids``: and its ids, binary."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,11 +276,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], names=names)
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    rows = docs.select(F.col(quoted(key)).cast("long").alias("k"), F.col(quoted(text)).cast("string").alias("t"))
     cut = written(rows.mapInArrow(pieces, "part int, doc_id long, piece int, start long, length int, ids_crc32 long, rank long" + ", ids binary" * with_ids), "pieces")
     counts = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     lengths = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = docs.sparkSession.sparkContext.broadcast(Places(packing_plan(lengths, capacity, groups)))
+    places = docs.sparkSession.sparkContext.broadcast(Places(packing_plan(lengths, capacity, schemes)))
     ahead = counts.select("part", "length", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
