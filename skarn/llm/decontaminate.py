@@ -2,11 +2,14 @@
 
 Words are runs of ``ALNUM`` bytes after A-Z are lower case. A window is ``n`` consecutive words of an item, or a whole
 shorter item. A hash that a document shares with the set is checked word for word. At most ``max_windows`` windows are
-broadcast at once, counted first; a larger set of items is dealt into blocks by hash and the documents pass them in
-turn, so the memory of a task has a bound that does not depend on either table.
-
-Nulls: a null text or item has no words and no hits. Empty tables give no hits, or no rows. Repeated items count once
-per distinct id; repeated documents are each judged. ``decontaminate`` passes any other columns through untouched.
+broadcast at once, counted first, as sorted arrays of about 20 bytes a window beside the texts; a larger set of items is
+dealt into blocks by hash and the documents pass them in turn, written in between, so a task holds one block at a time
+and its memory has a bound that does not depend on the number of items or documents. An item is not cut: the largest
+one must fit in a task as well.
+
+Nulls: a null text or item has no words and no hits. Empty tables give no hits, or no rows. Texts of any length are
+scanned whole. Repeated items count once per distinct id; repeated documents are each judged. ``decontaminate`` passes
+any other columns, whatever their names, through untouched.
 """
 
 from __future__ import annotations
@@ -16,55 +19,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import ALNUM, Words, blocks, column_bytes, rolling
+from .shared import fresh, quoted, written
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 class WindowSet:
-    """Windows of one block of items, by their length in words."""
-
-    BITS = 20
+    """Windows of one block of items, by their length in words: sorted hashes, and for each the place of its words and its
+    item, about 20 bytes a window beside the items' texts. Made once, on the driver, and broadcast."""
 
     def __init__(self, rows: list[tuple[str, str | None]], n: int):
-        found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        data, offsets = column_bytes(pa.array([t for _, t in rows], pa.string()))
+        data, offsets = column_bytes(pa.array([t for _, t in rows], pa.large_string()))
         words = Words(data, offsets, ALNUM, lower=True)
         hashed = words.hashes()
-        for (item, _), a, b in zip(rows, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-            size = min(n, b - a)
-            if size:
-                for k, h in enumerate(rolling(hashed[a:b], size).tolist(), a):
-                    found.setdefault(size, {}).setdefault(h, {}).setdefault(words.text(k, k + size), set()).add(item)
+        self.names = np.array([i for i, _ in rows], dtype=object)
+        self.data, self.start, self.end = words.data, words.start.astype(np.uint32), words.end.astype(np.uint32)
+        count = np.diff(words.first)
         self.by_size = {}
-        for size, windows in found.items():
-            seen = np.zeros(1 << self.BITS, dtype=bool)
-            keys = np.sort(np.fromiter(windows, dtype=np.uint64, count=len(windows)))
+        for size in np.unique(np.minimum(count, n)).tolist():
+            if not size:
+                continue
+            own = np.flatnonzero(count == size) if size < n else np.flatnonzero(count >= n)
+            many = count[own] - size + 1
+            at = np.repeat(words.first[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            keys, item = rolling(hashed, size)[at], np.repeat(own, many).astype(np.uint32)
+            order = np.lexsort((item, keys))
+            keys, item, at = keys[order], item[order], at[order].astype(np.uint32)
+            # a window that an item has twice counts once
+            once = np.concatenate((np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (item[1:] != item[:-1])))
+            keys, item, at = keys[once], item[once], at[once]
+            seen = np.zeros(1 << min(24, max(16, int(8 * len(keys)).bit_length())), dtype=bool)
             seen[keys & np.uint64(len(seen) - 1)] = True
-            self.by_size[size] = (seen, keys, windows)
+            self.by_size[size] = (seen, keys, item, at)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.data, self.start, self.end, self.names)) + sum(x.nbytes for arrays in self.by_size.values() for x in arrays)
+
+    def text(self, low: int, high: int) -> bytes:
+        return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.start[low:high], self.end[low:high], strict=True))
 
     def hits(self, words: Words) -> list[tuple[int, int, int, set[str]]]:
-        """(text, first word, words, items) of each occurrence of a window."""
+        """(text, first word, words, items) of each occurrence of a window, its words compared."""
         out = []
         hashed = words.hashes()
-        for size, (seen, keys, windows) in self.by_size.items():
+        for size, (seen, keys, item, at) in self.by_size.items():
             runs = rolling(hashed, size)
             near = np.flatnonzero(seen[runs & np.uint64(len(seen) - 1)])
-            near = near[keys[np.minimum(np.searchsorted(keys, runs[near]), len(keys) - 1)] == runs[near]]
+            low = np.searchsorted(keys, runs[near])
+            high = np.searchsorted(keys, runs[near], side="right")
             text = np.searchsorted(words.first, near, side="right") - 1
-            inside = near + size <= words.first[text + 1]
-            for k, t in zip(near[inside].tolist(), text[inside].tolist(), strict=True):
-                items = windows[int(runs[k])].get(words.text(k, k + size))
+            inside = (low < high) & (near + size <= words.first[text + 1])
+            for k, t, a, b in zip(near[inside].tolist(), text[inside].tolist(), low[inside].tolist(), high[inside].tolist(), strict=True):
+                own = words.text(k, k + size)
+                items = {self.names[item[x]] for x in range(a, b) if self.text(at[x], at[x] + size) == own}
                 if items:
                     out.append((t, k, size, items))
         return out
 
 
 def _item_blocks(items: DataFrame, n: int, item: str, text: str, max_windows: int) -> Iterator[list[tuple[str, str | None]]]:
-    rows = items.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null")
+    rows = items.select(F.col(quoted(item)).cast("string").alias("i"), F.col(quoted(text)).cast("string").alias("t")).where("i is not null")
     # a window starts at a word, and words are two bytes apart at least
     most = rows.agg(F.sum(F.floor(F.octet_length("t") / 2) + 1)).first()[0] or 0
     count = max(1, -(-int(most) // max_windows))
@@ -75,16 +93,18 @@ def _item_blocks(items: DataFrame, n: int, item: str, text: str, max_windows: in
 
 def _annotated(docs: DataFrame, text: str, items: DataFrame, n: int, item: str, item_text: str, max_windows: int) -> DataFrame:
     """``docs`` with two more columns: spans (bytes: pairs of first word and end) and items (strings)."""
-    spans, names = "__spans", "__items"
-    while {spans, names} & set(docs.columns):
-        spans, names = spans + "_", names + "_"
-    at = docs.columns.index(text)
+    spans, names = fresh(docs.columns, "spans", "items")
+    at, shared = docs.columns.index(text), None
     rows = docs.withColumn(spans, F.lit(b"")).withColumn(names, F.array().cast("array<string>"))
     for block in _item_blocks(items, n, item, item_text, max_windows):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        if shared is not None:
+            # what one block found is written, so that a task holds one block at a time
+            rows = written(rows, "annotated")
+            shared.destroy()
+        shared = docs.sparkSession.sparkContext.broadcast(WindowSet(block, n))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = WindowSet(shared.value, n)
+            windows = shared.value
             for batch in batches:
                 data, offsets = column_bytes(batch.column(at))
                 had_spans, had_items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
@@ -115,7 +135,7 @@ def covered(spans: bytes, n_words: int) -> np.ndarray:
     return np.cumsum(steps)[:-1] > 0
 
 
-def contamination_report(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", max_windows: int = 4_000_000) -> DataFrame:
+def contamination_report(docs: DataFrame, items: DataFrame, n: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", max_windows: int = 2_000_000) -> DataFrame:
     """Per document its words, the words hit, and the items found in it."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,18 +147,18 @@ def contamination_report(docs: DataFrame, items: DataFrame, n: int = 10, key: st
             sums = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(sums, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(key)).cast("long").alias("doc_id"), F.col(quoted(text)).cast("string").alias("text"))
     return _annotated(rows, "text", items, n, item, item_text, max_windows).mapInArrow(digest, REPORT)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", max_windows: int = 4_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", max_windows: int = 2_000_000) -> DataFrame:
     """The documents without those that hold a window (``documents``), or with the covered words cut out (``spans``)."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is 'documents' or 'spans', not {mode!r}")
     rows = _annotated(docs, text, items, n, item, item_text, max_windows)
     spans, at = rows.columns[-2], docs.columns.index(text)
     if mode == "documents":
-        return rows.where(F.octet_length(_quoted(spans)) == 0).select(*map(_quoted, docs.columns))
+        return rows.where(F.octet_length(quoted(spans)) == 0).select(*map(quoted, docs.columns))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,8 +175,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, mode: str = "documents", n:
                     texts[k] = data[keep].tobytes().decode()
             yield pa.RecordBatch.from_arrays([c if k != at else pa.array(texts, batch.schema.types[at]) for k, c in enumerate(batch.columns[:-1])], names=batch.schema.names[:-1])
 
-    return rows.select(*map(_quoted, docs.columns), _quoted(spans)).mapInArrow(cut, docs.schema)
-
-
-def _quoted(name: str) -> Column:
-    return F.col(f"`{name.replace('`', '``')}`")
+    return rows.select(*map(quoted, docs.columns), quoted(spans)).mapInArrow(cut, docs.schema)
