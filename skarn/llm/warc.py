@@ -5,8 +5,9 @@ to its frame and its offset in that frame. Of records whose payloads are equal (
 ``min_bytes`` long, that with the largest key is a ``response``; the others are ``revisit`` records that refer to it.
 
 Nulls: a null html is an empty payload, a null url leaves out the target URI, a null key never is the response of a
-group that has another. Rows repeated with one key all keep the type that the key has. An empty table writes no file.
-Other columns are not read. Files are written as in ``token_output``: whole, under a new name, then committed.
+group that has another. Rows repeated with one key all keep the type that the key has, and get record ids of their own;
+a revisit of such a key names the id that the key alone would have. Of equal payloads the largest key decides, so there are no ties. Pages of
+any size are one record each. An empty table writes no file. Other columns are not read. Files are written as in ``token_output``: whole, under a new name, then committed.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .seekable import Reader, Writer
-from .shared import new_path, written
+from .shared import new_path, quoted, written
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -36,23 +37,31 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(key: int | None) -> str:
-    """A URN that holds the key: a version 8 UUID, whose bits are free to choose."""
+def record_id(key: int | None, again: int = 0) -> str:
+    """A URN that holds the key: a version 8 UUID, whose bits are free to choose. ``again`` (45 bits) tells rows with one
+    key apart."""
     wide = (0 if key is None else key & (2**64 - 1)) | ((key is None) << 64)
-    return f"<urn:uuid:{uuid.UUID(int=(wide >> 62) << 80 | 8 << 76 | 2 << 62 | (wide & (2**62 - 1)))}>"
+    return f"<urn:uuid:{uuid.UUID(int=again << 83 | (wide >> 62) << 80 | 8 << 76 | 2 << 62 | (wide & (2**62 - 1)))}>"
 
 
 def key_of(urn: str) -> int | None:
     wide = uuid.UUID(urn[10:-1]).int
-    wide = (wide >> 80) << 62 | (wide & (2**62 - 1))
+    wide = (wide >> 80 & 7) << 62 | (wide & (2**62 - 1))
     return None if wide >> 64 else wide - 2**64 if wide >> 63 else wide
 
 
-def record(key: int | None, url: str | None, payload: bytes, refers: tuple[bool, int | None], date: str) -> bytes:
+def info(date: str) -> bytes:
+    """The record that opens each file."""
+    block = f"software: skarn\r\nformat: {VERSION}\r\n".encode()
+    head = [VERSION, "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
+def record(key: int | None, url: str | None, payload: bytes, refers: tuple[bool, int | None], date: str, again: int = 0) -> bytes:
     """One WARC record; ``refers`` is (is a revisit, key of the response)."""
     revisit, target = refers
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    head = [VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {date}"]
+    head = [VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(key, again)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(f"%{ord(c):02X}" if c < "!" or c == "\x7f" else c for c in url.replace("%", "%25")))
     head += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
@@ -97,17 +106,22 @@ def described(data: bytes, at: int) -> tuple[int | None, str | None, int, str, s
 def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, frame_bytes: int = 1 << 20, file_bytes: int = 256 << 20, date: str = "2000-01-01T00:00:00Z", level: int = 3) -> DataFrame:
     """Writes the bundles; returns the manifest, a row (path) per file.
 
-    Only keys and digests are grouped, with a partial aggregate before the exchange, so a payload that a third of
-    all pages share is no hot group. The join that hands each revisit its response is on the key.
+    Only keys and digests are grouped, with a partial aggregate before the exchange, and what is grouped is written: no
+    aggregate stands between an exchange and a join, so Spark can split the join where a third of all pages share a
+    payload. The join that hands each revisit its response is on the key.
     """
-    rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("h"))
-    prints = rows.select("k", F.sha2("h", 256).alias("d"), F.octet_length("h").alias("n")).where(F.col("n") >= min_bytes)
-    groups = prints.groupBy("d", "n").agg(F.max("k").alias("target"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    refers = prints.join(groups, ["d", "n"]).where(~F.col("k").eqNullSafe(F.col("target"))).select("k", "target").distinct()
-    joined = rows.join(refers.select(F.col("k").alias("rk"), "target", F.lit(True).alias("revisit")), F.col("k").eqNullSafe(F.col("rk")), "left").select("k", "u", "h", F.coalesce("revisit", F.lit(False)).alias("r"), "target")
+    rows = pages.select(F.col(quoted(key)).cast("long").alias("k"), F.col(quoted(url)).cast("string").alias("u"), F.coalesce(F.col(quoted(html)).cast("string"), F.lit("")).alias("h"))
+    prints = rows.select("k", F.sha2("h", 256).alias("d"), F.octet_length("h").alias("n"))
+    groups = written(prints.where(F.col("n") >= min_bytes).groupBy("d", "n").agg(F.max("k").alias("target"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "payloads")
+    refers = prints.join(groups, ["d", "n"]).where(~F.col("k").eqNullSafe(F.col("target"))).select("k", "target", F.lit(0).alias("c"))
+    # of each key: the response that its row revisits, and whether several rows have it
+    keyed = refers.union(rows.select("k", F.lit(None).cast("long"), F.lit(1)))
+    marks = written(keyed.groupBy("k").agg(F.max("target").alias("target"), F.max(F.col("c") == 0).alias("revisit"), (F.sum("c") > 1).alias("many")).where("revisit or many"), "revisits")
+    joined = rows.join(marks.withColumnRenamed("k", "rk"), F.col("k").eqNullSafe(F.col("rk")), "left").select("k", "u", "h", F.coalesce("revisit", F.lit(False)).alias("r"), "target", F.coalesce("many", F.lit(False)).alias("many"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, file, out, group, size, entries, made = TaskContext.get().partitionId(), 0, None, [], 0, [], []
+        repeats = 0
 
         def flush():
             nonlocal group, size
@@ -123,11 +137,14 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
         try:
             for batch in batches:
                 for row in zip(*(c for c in batch.columns), strict=True):
-                    k, u, h, revisit, target = (x.as_py() for x in row)
+                    k, u, h, revisit, target, many = (x.as_py() for x in row)
+                    repeats += many
+                    again = part << 26 | repeats if many else 0
                     if out is None:
                         path = f"{folder}/pages-{part:05d}-{file:05d}-{uuid.uuid4().hex}.warc.zst"
                         out, entries = Writer(path, level), []
-                    made_record = record(k, u, h.encode(), (revisit, target), date)
+                        out.frame(info(date))
+                    made_record = record(k, u, h.encode(), (revisit, target), date, again)
                     if size and size + len(made_record) > frame_bytes:
                         flush()
                     entries.append((0 if k is None else k, k is None, len(out.entries), size))
