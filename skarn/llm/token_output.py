@@ -11,6 +11,8 @@ frame. An empty table gives an empty manifest. Other columns are not read.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .encode import encoder, little_endian_u32
 from .seekable import Reader, Writer
-from .shared import new_path, written
+from .shared import new_path, quoted, written
 
 MANIFEST = "part int, file int, path string, width int, n_docs long, n_tokens long"
 READ = "doc_id long, path string, frame int, at long, n_tokens long, ids_crc32 long"
@@ -62,7 +64,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0,
                 out.drop()
         yield pa.RecordBatch.from_pandas(_frame(made), schema=_MANIFEST)
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    rows = docs.select(F.col(quoted(key)).cast("long").alias("k"), F.col(quoted(text)).cast("string").alias("t"))
     return written(rows.repartitionByRange("k").sortWithinPartitions("k").mapInArrow(write, MANIFEST), "token-manifest")
 
 
@@ -118,7 +120,10 @@ def fetch(path: str, doc_id: int) -> list[np.ndarray]:
     """The ids of one document, by its key, without reading any other frame."""
     reader = Reader(path)
     keys, width = directory(reader)
-    found = [np.frombuffer(reader.frame(k), dtype=f"<u{width}") for k, x in enumerate(keys) if x == doc_id]
+    # null keys come first, the others are sorted
+    nulls = sum(1 for k in itertools.takewhile(lambda k: k is None, keys))
+    low, high = bisect.bisect_left(keys, doc_id, nulls), bisect.bisect_right(keys, doc_id, nulls)
+    found = [np.frombuffer(reader.frame(k), dtype=f"<u{width}") for k in range(low, high)]
     reader.close()
     return found
 
