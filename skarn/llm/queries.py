@@ -95,7 +95,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM d LEFT JOIN k USING (doc_id) LEFT JOIN o USING (doc_id)""",
     # every run of a template's shingles in every window of the template's length class, by exact comparison
     "op5_licenses": """
-        WITH t(template_id, text) AS (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in TEMPLATES) + """),
+        WITH t(template_id, text) AS (VALUES """ + ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in TEMPLATES) + """),
         tw AS (SELECT template_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM t),
         tc AS (SELECT template_id, w, least(len(w), 5) AS k, CAST(sizes.s AS BIGINT) AS s FROM tw JOIN (VALUES """
     + ", ".join(f"({n}, {s})" for n, s in _CLASSES.items())
