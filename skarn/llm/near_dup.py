@@ -233,7 +233,7 @@ def _block_pairs(rows: DataFrame, parts, group: str, *columns: str) -> DataFrame
     return paired.select(group, pair, "doc", *columns).repartition(group, "pair").sortWithinPartitions(group, "pair", "doc")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 75, trees: int = TREES, node_size: int = 8192, levels: int = 4, dense: float = 0.6, task_docs: int = 1024, task_shingles: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 75, trees: int = TREES, node_size: int = 8192, levels: int = 4, dense: float = 0.6, task_docs: int = 512, task_shingles: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row per input row."""
     if not 0 < trees <= TREES:
         raise ValueError(f"there are tokens for up to {TREES} trees")
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     coarse = components(compared.mapInArrow(lambda b: _links_of(b, 2, _sketches, lambda s: sketch_links(s, least)), "a long, b long"))
 
     coarse = coarse.join(chosen.select(F.col("doc").alias("id"), "n"), "id")
-    sizes = written(coarse.groupBy("component").agg(F.greatest(parts_of(F.count(F.lit(1)), task_docs // 4 or 1), F.ceil(F.sum("n") / task_shingles)).cast("int").alias("parts")), "sets")
+    sizes = written(coarse.groupBy("component").agg(F.greatest(parts_of(F.count(F.lit(1)), task_docs // 2 or 1), F.ceil(F.sum("n") / task_shingles)).cast("int").alias("parts")), "sets")
     placed = coarse.join(sizes, "component").select("id", "component", "parts")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
