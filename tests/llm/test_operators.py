@@ -136,6 +136,22 @@ def test_substrings(spark, docs, texts):
     cut = {r.doc_id: r.text for r in substring.substring_dedup(docs).collect()}
     assert all(hashlib.sha256(" ".join(words(cut[i])).encode()).hexdigest() == want[i][2] for i in want)
     assert substring.substring_report(docs.limit(0)).count() == 0
+    # each factor is a copy of what stands at its reference, and no other place of the same text
+    by_row = substring.duplicate_spans(docs.select(F.col("doc_id").alias("row"), "text")).collect()
+    made = [(r.row, *x) for r in by_row for x in zip(r.starts, r.sizes, r.ref_rows, r.ref_starts)]
+    assert len(made) > 20 and max(size for _, _, size, _, _ in made) >= 60
+    for row, start, size, ref, at in made:
+        assert size >= 35 and (row, start) != (ref, at) and listed[row][start : start + size] == listed[ref][at : at + size]
+    clash = docs.withColumnsRenamed({"row": "starts", "doc": "sizes", "parts": "__row"})
+    assert substring.substring_dedup(clash).columns == clash.columns
+
+
+def test_substrings_of_a_very_long_text(spark):
+    r, words_of = random.Random(6), vocabulary(2, 5000)
+    long = [r.choice(words_of) for _ in range(400_000)]
+    texts = [" ".join(long), " ".join(long[1000:1100]), None, "short"]
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in substring.substring_report(frame(spark, texts)).collect()}
+    assert got == {0: (400_000, 100), 1: (100, 100), 2: (0, 0), 3: (1, 0)}
 
 
 def test_decontamination(spark, docs, texts):
@@ -170,6 +186,20 @@ def test_decontamination(spark, docs, texts):
         decontaminate.decontaminate(docs, table, "other")
 
 
+def test_windows_in_bounded_memory():
+    import pyarrow as pa
+
+    from skarn.llm.kernel import column_bytes
+
+    r = random.Random(3)
+    items = [(str(k), " ".join(str(r.randrange(10**6)) for _ in range(210))) for k in range(5000)]
+    windows = decontaminate.WindowSet(items, 10)
+    assert windows.nbytes() < 90e6 and sum(len(x[1]) for x in windows.by_size.values()) > 1_000_000
+    data, offsets = column_bytes(pa.array([f"x {items[7][1]} y", "nothing here", " ".join(items[9][1].split(" ")[5:15])]))
+    hits = windows.hits(decontaminate.Words(data, offsets, decontaminate.ALNUM, lower=True))
+    assert {(t, tuple(i)) for t, _, _, i in hits} == {(0, ("7",)), (2, ("9",))} and len(hits) == 202
+
+
 def test_token_output(spark, docs, texts):
     path = public_tokenizers.path("byte_bpe_50k.json")
     enc = Encoder(path).tokenizer
@@ -215,6 +245,35 @@ def test_packing(spark, docs, texts):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_packing_plans_on_many_distributions():
+    """Never more sequences than best-fit decreasing, written out here, nor fewer than the bound; all pieces, once."""
+    rng = np.random.default_rng(3)
+    cases = [rng.lognormal(m, s, n).astype(int) + 1 for m, s, n in ((7, 0.5, 4000), (6.5, 0.6, 4000), (6, 1, 8000), (5, 1.2, 8000))]
+    cases += [rng.integers(1, 2049, 3000), rng.integers(650, 900, 3000), rng.integers(400, 1200, 3000), rng.choice([683, 684, 700, 1000, 300, 50], 2000), np.full(7, 2048), np.array([1])]
+    gained = 0
+    for lengths in cases:
+        pieces = sorted([2048] * int((lengths // 2048).sum()) + [int(x) for x in lengths % 2048 if x], reverse=True)
+        rooms, by_room = 0, [0] * 2049
+        for x in pieces:
+            room = next((r for r in range(x, 2049) if by_room[r]), None)
+            if room is None:
+                rooms, room = rooms + 1, 2048
+                by_room[room] += 1
+            by_room[room] -= 1
+            by_room[room - x] += 1
+        counts = collections.Counter(pieces)
+        plan = packing.packing_plan(counts, 2048)
+        held = collections.Counter()
+        for pattern, count in plan:
+            assert sum(pattern) <= 2048
+            for x in pattern:
+                held[x] += count
+        made = sum(count for _, count in plan)
+        assert held == counts and packing.lower_bound(counts, 2048) <= made <= rooms
+        gained += rooms - made
+    assert gained > 50
+
+
 def test_quality(spark):
     r, vocab = random.Random(2), vocabulary()
     good = [" ".join(r.choice(vocab) for _ in range(r.randint(20, 90))).capitalize() + "." for _ in range(300)]
@@ -363,7 +422,7 @@ def test_licenses(spark):
     texts = [f"{filler}. {full['MIT']} {filler}", f"{filler} {' '.join(most[:-4])} and more {filler}", f"{filler} {' '.join(most[:12])} {filler}", None, "", filler, full["Apache-2.0-header"], "RELEASED, under... the\nMIT license"]
     docs = frame(spark, texts)
     got = {(r.doc_id, r.template_id) for r in licenses.license_scan(docs, licenses.default_templates(spark)).collect()}
-    assert got == {(0, "MIT"), (1, "MIT-full"), (6, "Apache-2.0-header"), (6, "Apache-2.0"), (7, "MIT")}
+    assert got == {(0, "MIT"), (1, "MIT-full"), (1, "MIT-grant"), (6, "Apache-2.0-header"), (6, "Apache-2.0"), (7, "MIT")}
     short = spark.createDataFrame([("s", "Public Domain"), ("n", None), (None, "x"), ("e", "--")], "template_id string, text string")
     rows = spark.createDataFrame([(1, "in the public domain now"), (2, "public and domain")], "doc_id long, text string")
     assert [(r.doc_id, r.containment) for r in licenses.license_scan(rows, short).collect()] == [(1, 1.0)]
@@ -454,5 +513,15 @@ def test_warc(spark):
     manifest = warc.write_warc(pages, warc.new_path(spark, "w"), min_bytes=10, frame_bytes=200, file_bytes=1)
     assert warc.read_warc(manifest).where("record_type = 'revisit'").count() == 0
     one = warc.read_warc(manifest).where("page_id = 9").first()
+    ids = []
+    for r in warc.write_warc(pages, warc.new_path(spark, "ids"), file_bytes=1).collect():
+        content = b"".join(warc.Reader(r.path).frames())
+        at, kinds = 0, []
+        while at < len(content):
+            head, _, at = warc.parse(content, at)
+            ids.append(head["WARC-Record-ID"])
+            kinds.append(head["WARC-Type"])
+        assert kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:]
+    assert len(ids) == len(set(ids)) == 16 and all(warc.key_of(warc.record_id(k, 77)) == k for k in (None, 0, -1, 2**63 - 1, -(2**63)))
     assert warc.fetch(one.path, 9).partition(b"\r\n\r\n")[2].decode() == "é" * 3000 and warc.fetch(one.path, 12345) is None
     assert warc.warc(pages.limit(0)).count() == 0
