@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,11 +16,27 @@ from ..functions.text import CODE_EXTENSIONS
 CHUNK = "id string, document_name string, chunk_index int, total_chunks int, text string, start_char int, end_char int, token_count_estimate int"
 #: Where texts are cut, coarsest first.
 SEPARATORS = [re.compile(x, re.A) for x in (r"(?=\n#{1,3}\s)", r"\n\s*\n", r"\n", r"(?<=[.!?])\s+", r"\s+")]
-#: Trimmed lines that begin a declaration.
-DECLARATIONS = re.compile(
-    r"(?:export\s+)?(?:async\s+)?function\s+|(?:export\s+)?(?:const|let|var)\s+\w+\s*=\s*(?:async\s+)?\(|(?:export\s+)?class\s+|(?:export\s+)?interface\s+|(?:export\s+)?type\s+\w+\s*="
-    r"|(?:pub\s+)?fn\s+|(?:pub\s+)?struct\s+|(?:pub\s+)?impl\s+|func\s+(?:\([^)]+\)\s+)?\w+|type\s+\w+\s+struct|def\s+\w+\s*\(|class\s+\w+.*:|@\w+"
-)
+#: What trimmed lines that begin a declaration match, and the lines that a code chunk has at least before
+#: it ends at one.
+DECLARATIONS = [
+    re.compile(x, re.A)
+    for x in (
+        r"^(export\s+)?(async\s+)?function\s+",
+        r"^(export\s+)?(const|let|var)\s+\w+\s*=\s*(async\s+)?\(",
+        r"^(export\s+)?class\s+",
+        r"^(export\s+)?interface\s+",
+        r"^(export\s+)?type\s+\w+\s*=",
+        r"^(pub\s+)?fn\s+",
+        r"^(pub\s+)?struct\s+",
+        r"^(pub\s+)?impl\s+",
+        r"^func\s+(\([^)]+\)\s+)?\w+",
+        r"^type\s+\w+\s+struct",
+        r"^def\s+\w+\s*\(",
+        r"^class\s+\w+.*:",
+        r"^@\w+",
+    )
+]
+LEAST_LINES = 15
 
 
 def _pieces(text: str, size: int) -> list[str]:
@@ -32,42 +50,45 @@ def _pieces(text: str, size: int) -> list[str]:
 
 
 def text_chunks(text: str, size: int = 600, overlap: int = 120) -> list[str]:
-    """Pieces joined by newlines while they fit; a new chunk begins with the end of the one before."""
+    """Runs of pieces, joined by newlines, that fit in ``size``; each begins with the end of the one before. Where a run
+    ends is looked up in the running sums of the pieces' lengths."""
+    pieces = [p for p in map(str.strip, _pieces(text, size)) if p]
+    sums = [0, *accumulate(len(p) + 1 for p in pieces)]
     out: list[str] = []
-    now = ""
-    for piece in map(str.strip, _pieces(text, size)):
-        if not piece:
-            continue
-        if not now:
-            now = piece
-        elif len(now) + 1 + len(piece) <= size:
-            now = f"{now}\n{piece}"
-        else:
-            out.append(now)
-            tail = now[len(now) - overlap :].strip() if 0 < overlap < len(now) else ""
-            now = f"{tail}\n{piece}" if tail else piece
-    return [*out, now] if now else out
+    low = 0
+    while low < len(pieces):
+        tail = out[-1][-overlap:].strip() if out and 0 < overlap < len(out[-1]) else ""
+        room = size + 1 - (len(tail) + 1 if tail else 0)
+        high = max(low + 1, bisect_right(sums, sums[low] + room) - 1)
+        out.append("\n".join([*([tail] if tail else []), *pieces[low:high]]))
+        low = high
+    return out
+
+
+def declared_lines(lines: list[str], json: bool) -> list[int]:
+    """The numbers of the lines that begin a declaration, or in JSON an object or array."""
+    trimmed = [x.strip() for x in lines]
+    return [i for i, x in enumerate(trimmed) if any(p.match(x) for p in DECLARATIONS) or (json and x[:1] in ("{", "}", "["))]
+
+
+def line_ranges(n: int, declared: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges of lines that cover n lines: each ends at the first declaration that is over ``LEAST_LINES`` lines from its
+    start and after the end of the range before, if there is one within ``most`` lines, else after ``most``."""
+    out: list[tuple[int, int]] = []
+    low = end = 0
+    while not out or end < n:
+        low = max(low + 1, end - overlap) if out else 0
+        limit = min(n, low + most)
+        k = bisect_right(declared, max(end, low + LEAST_LINES))
+        end = min(limit, declared[k]) if k < len(declared) else limit
+        out.append((low, end))
+    return out
 
 
 def code_chunks(code: str, name: str, most_lines: int = 45, overlap: int = 8) -> list[str]:
-    """Runs of lines that end, where one is near, before a declaration; a boundary once passed is not looked at again."""
     lines = code.split("\n")
-    json = name.rsplit(".", 1)[-1].lower() == "json"
-    starts = [i for i, x in enumerate(map(str.strip, lines)) if x and (json and x[0] in "{}[" or DECLARATIONS.match(x))]
-    out, low, at = [], 0, 0
-    while low < len(lines):
-        high = min(len(lines), low + most_lines)
-        while at < len(starts) and starts[at] <= high:
-            if starts[at] > low + 15:
-                high = starts[at]
-            at += 1
-        chunk = "\n".join(lines[low:high]).strip()
-        if chunk:
-            out.append(chunk)
-        if high >= len(lines):
-            break
-        low = max(low + 1, high - overlap)
-    return out
+    ranges = line_ranges(len(lines), declared_lines(lines, name.lower().endswith(".json") or name.lower() == "json"), most_lines, overlap)
+    return [x for x in ("\n".join(lines[a:b]).strip() for a, b in ranges) if x]
 
 
 def placed(text: str, chunks: list[str]) -> Iterator[tuple[str, int, int]]:
