@@ -26,10 +26,14 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def words_apart(text: Column) -> Column:
+    """Lower case; anything but a-z, 0-9, _ and - separates. The first or last may be empty."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_\-]+")
+
+
 def tokens(text: Column) -> Column:
-    """Lower case; anything but a-z, 0-9, _ and - separates; words of one character and stop words are left out."""
-    words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_\-\s]", " "), r"\s+")
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))
+    """The words of more than one character that are no stop words."""
+    return F.filter(words_apart(text), lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS))
 
 
 def query_terms(text: Column) -> Column:

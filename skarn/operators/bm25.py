@@ -1,41 +1,74 @@
-"""Okapi BM25 over an inverted index kept as DataFrames."""
+"""Okapi BM25 over an inverted index kept as DataFrames, or as tables sorted by term."""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import STOPWORDS, words_apart
 
+_STOP = frozenset(STOPWORDS)
 
-def _tokenized(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("words"))
+
+def query_tokens(text: str) -> list[str]:
+    """The tokens of a question, as of a document."""
+    return [w for w in re.split(r"[^a-z0-9_\-]+", text.lower()) if len(w) > 1 and w not in _STOP]
 
 
 @dataclass
 class BM25Index:
     """postings (term, id, tf, dl), lengths (id, dl) and the constants. A posting holds its document's length, so a search
-    joins nothing as large as the corpus. Documents without a token count in N and avgdl."""
+    joins nothing as large as the corpus. Documents without a token count in N and avgdl. ``terms`` (term, df) and
+    ``totals`` (one row: n, total_dl) are there once an index has been saved; otherwise they are counted when asked for."""
 
     postings: DataFrame
     lengths: DataFrame
     k1: float = 1.2
     b: float = 0.75
+    terms: DataFrame | None = None
+    totals: DataFrame | None = None
 
     @staticmethod
     def build(docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> BM25Index:
-        rows = _tokenized(docs, key, text)
-        postings = rows.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        return BM25Index(postings, rows.select("id", F.size("words").alias("dl")), k1, b)
+        """The words are counted, and stop words left out, after they are rows: in generated code, not in a lambda."""
+        # the id goes with its row, not with its value, as rows may share an id
+        rows = docs.select(F.col(key).alias("id"), words_apart(F.col(text)).alias("words"))
+        fine = (F.length("term") > 1) & ~F.col("term").isin(STOPWORDS)
+        length = F.size(F.filter("words", lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS)))
+        rows = rows.select("id", "words", length.alias("dl"))
+        postings = rows.select("id", "dl", F.explode("words").alias("term")).where(fine).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        return BM25Index(postings, rows.select("id", "dl"), k1, b)
+
+    def save(self, path: str) -> BM25Index:
+        """Writes the index and returns it as read from there: postings and document frequencies sorted by term, so that a
+        search reads the row groups of its terms alone."""
+        spark = self.postings.sparkSession
+        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+        self.lengths.write.parquet(f"{path}/lengths")
+        saved = spark.read.parquet(f"{path}/postings")
+        saved.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_dl")).write.parquet(f"{path}/totals")
+        spark.createDataFrame([(self.k1, self.b)], "k1 double, b double").write.parquet(f"{path}/constants")
+        return BM25Index.load(spark, path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> BM25Index:
+        """A saved index."""
+        k1, b = spark.read.parquet(f"{path}/constants").first()
+        postings, lengths, terms, totals = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms", "totals"))
+        return BM25Index(postings, lengths, k1, b, terms, totals)
 
     def stats(self) -> DataFrame:
         """One row: n, total_dl, avgdl."""
-        return self.lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_dl")).withColumn("avgdl", F.col("total_dl") / F.greatest(F.lit(1), F.col("n")))
+        totals = self.totals if self.totals is not None else self.lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_dl"))
+        return totals.withColumn("avgdl", F.col("total_dl") / F.greatest(F.lit(1), F.col("n")))
 
     def document_frequency(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        return self.terms if self.terms is not None else self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def remove(self, ids: DataFrame) -> BM25Index:
         """Without the documents of ``ids`` (its first column)."""
@@ -44,36 +77,44 @@ class BM25Index:
 
     def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> BM25Index:
         """With these documents, in place of any of the same id."""
-        new, kept = BM25Index.build(docs, key, text), self.remove(docs.select(key))
+        new, kept = BM25Index.build(docs, key, text, self.k1, self.b), self.remove(docs.select(key))
         return BM25Index(kept.postings.unionByName(new.postings), kept.lengths.unionByName(new.lengths), self.k1, self.b)
 
-    def _scores(self, asked: DataFrame, where: Column | str | None, small: bool) -> DataFrame:
-        """(qid, id, score) for query terms (qid, term, qtf). ``small``: the terms are those of one query."""
-        terms = F.broadcast(asked) if small else asked
-        met = self.postings.join(F.broadcast(asked.select("term").distinct()) if small else asked.select("term").distinct(), "term", "left_semi")
-        df = met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        rows = met.join(terms, "term").join(F.broadcast(df) if small else df, "term")
-        if where is not None:
-            rows = rows.where(where)
+    def _scored(self, met: DataFrame, where: Column | str | None, among: DataFrame | None = None) -> DataFrame:
+        """(qid, id, score) of postings met by query terms, with df and qtf."""
+        rows = met if where is None else met.where(where)
+        if among is not None:
+            rows = rows.join(among.select(F.col(among.columns[0]).alias("id")), "id", "left_semi")
         rows = rows.crossJoin(F.broadcast(self.stats()))
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / F.col("avgdl")))
         return rows.groupBy("qid", "id").agg(F.sum(F.col("qtf") * idf * weight).alias("score"))
 
-    def search(self, query: str, k: int = 10, where: Column | str | None = None, round_to: int | None = None) -> DataFrame:
-        """(id, score) of the best k. A repeated query term counts each time; ``where`` is a predicate on id and applies
-        to what is scored, while N, df and avgdl stay those of the index. Ties go to the smaller id."""
+    def search(self, query: str, k: int = 10, where: Column | str | None = None, round_to: int | None = None, among: DataFrame | None = None) -> DataFrame:
+        """(id, score) of the best k. A repeated query term counts each time; ``where``, a predicate on id, and ``among``,
+        ids in its first column, apply to what is scored, while N, df and avgdl stay those of the index. Ties go to the
+        smaller id."""
         spark = self.postings.sparkSession
-        asked = spark.range(1).select(F.lit(0).alias("qid"), F.explode(tokens(F.lit(query))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-        rows = self._scores(asked, where, True)
+        counts = Counter(query_tokens(query))
+        # the terms of one question: as literals they reach the scan of the postings
+        asked = spark.createDataFrame([(0, t, n) for t, n in sorted(counts.items())], "qid int, term string, qtf int")
+        wanted = F.col("term").isin(sorted(counts)) if counts else F.lit(False)
+        met = self.postings.where(wanted)
+        df = self.terms.where(wanted) if self.terms is not None else met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        rows = self._scored(met.join(F.broadcast(asked), "term").join(F.broadcast(df), "term"), where, among)
         if round_to is not None:
             rows = rows.withColumn("score", F.round("score", round_to))
         return rows.select("id", "score").orderBy(F.desc("score"), "id").limit(k)
 
-    def search_batch(self, queries: DataFrame, k: int = 10, query_key: str = "item_id", text: str = "text", round_to: int | None = None) -> DataFrame:
-        """(qid, id, score, rank) of the best k of each query."""
-        asked = queries.select(F.col(query_key).alias("qid"), F.explode(tokens(F.col(text))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-        rows = self._scores(asked, None, False)
+    def search_batch(self, queries: DataFrame, k: int = 10, query_key: str = "item_id", text: str = "text", round_to: int | None = None, broadcast_terms: int = 500_000) -> DataFrame:
+        """(qid, id, score, rank) of the best k of each query. Up to ``broadcast_terms`` query terms, counted first, are
+        broadcast, so that the postings of a frequent term stay where they are; more are joined by term, and as nothing
+        is grouped between the postings' exchange and the join, Spark can split a frequent term."""
+        words = queries.select(F.col(query_key).alias("qid"), F.explode(words_apart(F.col(text))).alias("term")).where((F.length("term") > 1) & ~F.col("term").isin(STOPWORDS))
+        asked = words.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+        asked = asked.join(self.document_frequency(), "term")
+        few = asked.limit(broadcast_terms + 1).count() <= broadcast_terms
+        rows = self._scored(self.postings.join(F.broadcast(asked) if few else asked, "term"), None)
         if round_to is not None:
             rows = rows.withColumn("score", F.round("score", round_to))
         return rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.embed import embedder
 from ..operators import ann, bm25, chunk, hybrid, knn, metrics, rag
+from ..sources import snapshot
 from ..sources.store import Store
 
 
@@ -61,10 +62,18 @@ class Collection:
         asked = self.spark.range(1).select(self.embed(F.lit(query)).alias("vector"))
         return knn.knn(vectors, asked, k, key="id", column="vector")
 
+    def index(self) -> bm25.BM25Index:
+        """The lexical index of the chunks as they are now, saved beside them when it is first asked for."""
+        version = self.store.version("chunks")
+        if version is None:
+            return bm25.BM25Index.build(self.chunks, "id", "text")
+        path = f"{self.store.path}/lexical/{version}"
+        if not self.store.exists(f"{path}/constants/_SUCCESS"):
+            return bm25.BM25Index.build(self.chunks, "id", "text").save(path)
+        return bm25.BM25Index.load(self.spark, path)
+
     def sparse(self, query: str, k: int = 5, document: str | None = None) -> DataFrame:
-        index = bm25.BM25Index.build(self.chunks, "id", "text")
-        allowed = None if document is None else F.col("id").startswith(f"{document}-chunk-") | F.col("id").startswith(f"{document}-code-")
-        return index.search(query, k, allowed)
+        return self.index().search(query, k, among=None if document is None else self._in(document).select("id"))
 
     def search(self, query: str, mode: str = "hybrid", k: int = 5, document: str | None = None) -> DataFrame:
         """(rank, id, combined_score, document_name, chunk_index, text, ...), best first."""
@@ -89,6 +98,23 @@ class Collection:
     def stats(self) -> DataFrame:
         return metrics.memory_footprint(self.vectors, "vector")
 
+    def sizes(self, tombstones: DataFrame | None = None) -> DataFrame:
+        """One row: size, all vectors, and active_size, those not deleted."""
+        return ann.sizes(self.vectors, tombstones)
+
+    def rehydrate(self, config: ann.GraphConfig = ann.GraphConfig()) -> tuple[DataFrame, bm25.BM25Index] | None:
+        """The graph and the lexical index of what is stored, built anew; None unless there are both chunks and vectors."""
+        return (self.graph(config), self.index()) if self.store.is_ready() else None
+
+    def import_snapshot(self, files: DataFrame, form: str = "binary") -> None:
+        """Replaces the collection by what snapshot files hold (a binary column ``content``): chunks, the vectors of live
+        nodes, and a document for each name in the chunks. The lexical index follows the chunks."""
+        chunks, nodes = snapshot.read_chunks(files, form), snapshot.read_snapshots(files, form)
+        self.store.replace("chunks", chunks)
+        self.store.replace("vectors", nodes.select("id", "vector"))
+        now = self.store.read("chunks").groupBy("document_name").agg(F.sum(F.octet_length("text")).alias("size_bytes"), F.count(F.lit(1)).cast("int").alias("chunk_count"))
+        self.store.replace("documents", now.select(F.col("document_name").alias("name"), "size_bytes", "chunk_count", F.current_timestamp().alias("created_at")))
+
     def graph(self, config: ann.GraphConfig = ann.GraphConfig()) -> DataFrame:
         """A graph over the vectors; node ids are hashes of chunk ids, which ``graph_ids`` maps back."""
         return ann.build_graph(self.vectors.select(F.xxhash64("id").alias("vec_id"), F.col("vector").alias("embedding")), config)

@@ -56,6 +56,17 @@ class Store:
         new = rows.select(*(F.col(c).cast(t) for c, t in _fields(SCHEMAS[table]))).dropDuplicates([key])
         self._commit(table, self.read(table).join(new.select(key), key, "left_anti").unionByName(new))
 
+    def replace(self, table: str, rows: DataFrame) -> None:
+        """The table holds these rows and no others; of rows with one key, any one stays."""
+        self._commit(table, rows.select(*(F.col(c).cast(t) for c, t in _fields(SCHEMAS[table]))).dropDuplicates([KEYS[table]]))
+
+    def version(self, table: str) -> str | None:
+        """The name of the version that readers see; None before the first write."""
+        return self._pointer(table)
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._at(path))
+
     def get(self, table: str, value: str) -> DataFrame:
         return self.read(table).where(F.col(KEYS[table]) == value)
 
@@ -72,7 +83,7 @@ class Store:
         self._commit("documents", self.read("documents").where(~F.col("name").eqNullSafe(name)))
 
     def clear(self) -> None:
-        for table in KEYS:
+        for table in (*KEYS, "lexical"):
             self._fs.delete(self._at(f"{self.path}/{table}"), True)
 
     def vacuum(self) -> None:
@@ -82,6 +93,10 @@ class Store:
             for x in self._fs.globStatus(self._at(f"{self.path}/{table}/*")) or []:
                 if now not in x.getPath().getName():
                     self._fs.delete(x.getPath(), True)
+        now = self._pointer("chunks")
+        for x in self._fs.globStatus(self._at(f"{self.path}/lexical/*")) or []:
+            if x.getPath().getName() != now:
+                self._fs.delete(x.getPath(), True)
 
     def is_ready(self) -> bool:
         """Whether there is anything to rehydrate: both chunks and vectors."""
