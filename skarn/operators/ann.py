@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import heapq
 import math
-from dataclasses import dataclass
+import time
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import score
@@ -219,6 +220,57 @@ def drop_tombstones(nodes: DataFrame, tombstones: DataFrame) -> DataFrame:
     return marked.groupBy("shard").applyInPandas(renumber, NODES)
 
 
+def switch_quantization(nodes: DataFrame, config: GraphConfig, quantization: str, **params) -> tuple[DataFrame, GraphConfig]:
+    """The graph built anew from its vectors under another quantization, all else as it was; the same graph where it has
+    that quantization already."""
+    if quantization not in ("f32", "sq8", "bq"):
+        raise ValueError(f"quantization is f32, sq8 or bq, not {quantization!r}")
+    if quantization == config.quantization:
+        return nodes, config
+    other = replace(config, quantization=quantization)
+    return build_graph(nodes.select(F.col("id").alias("vec_id"), F.col("vector").alias("embedding")), other, **params), other
+
+
+def sizes(nodes: DataFrame, tombstones: DataFrame | None = None) -> DataFrame:
+    """One row: size, all nodes of the graph, and active_size, those not deleted."""
+    rows = nodes.select("id", F.lit(False).alias("gone"))
+    if tombstones is not None:
+        dead = tombstones.select(F.col(tombstones.columns[0]).alias("id"), F.lit(True).alias("gone")).distinct()
+        rows = nodes.select("id").join(dead, "id", "left").select("id", F.coalesce("gone", F.lit(False)).alias("gone"))
+    return rows.agg(F.count(F.lit(1)).alias("size"), F.count_if(~F.col("gone")).alias("active_size"))
+
+
+def degrees(nodes: DataFrame) -> DataFrame:
+    """(id, level, layer, degree): the links of each node in each of its layers."""
+    return nodes.select("id", "level", F.posexplode("neighbors").alias("layer", "linked")).select("id", "level", "layer", F.size("linked").alias("degree"))
+
+
+def probe_queries(spark: SparkSession, dim: int, count: int = 20, step: float = 13, rise: float = 0.7) -> DataFrame:
+    """(vec_id, embedding): fixed test vectors, the d-th value of the i-th being sin(i * step + d * rise) in single
+    precision. An audit asks 20 with steps of 13 and 0.7, a benchmark 100 with 17 and 1."""
+    value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.sin(F.col("id") * step + d * rise).cast("float"))
+    return spark.range(count).select(F.col("id").alias("vec_id"), value.alias("embedding"))
+
+
+def time_searches(nodes: DataFrame, queries: DataFrame, k: int = 5, config: GraphConfig = GraphConfig(), ef: int | None = None, query_key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(qid, shard, ms): how long the search of each query takes in each shard, one after another; the graph is restored
+    once. Up to 20,000 queries, as a benchmark asks a few: more raise an error."""
+    asked = queries.select(F.col(query_key).cast("long").alias("q"), F.col(column).cast("array<double>").alias("v")).limit(20_001).toPandas()
+    if len(asked) > 20_000:
+        raise ValueError("a benchmark asks at most 20,000 queries")
+    shared = nodes.sparkSession.sparkContext.broadcast((asked.q.to_numpy(), list(asked.v)))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        graph, out = Graph.restore(rows, config), []
+        for qid, q in zip(*shared.value, strict=True):
+            began = time.perf_counter()
+            graph.search(np.asarray(q), max(k, ef or config.ef_search))
+            out.append((qid, int(rows.shard.iloc[0]), (time.perf_counter() - began) * 1000))
+        return pd.DataFrame(out, columns=["qid", "shard", "ms"])
+
+    return nodes.groupBy("shard").applyInPandas(run, "qid long, shard int, ms double")
+
+
 def prune_links(links: DataFrame, most: int) -> DataFrame:
     """(src, layer, dst, distance): the nearest ``most`` links of each node and layer."""
     return links.withColumn("__r", F.row_number().over(Window.partitionBy("src", "layer").orderBy("distance", "dst"))).where(F.col("__r") <= most).drop("__r")

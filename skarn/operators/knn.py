@@ -52,13 +52,46 @@ def find_similar(vectors: DataFrame, id_: int | str, k: int = 5, key: str = "vec
 BATCH = "qid long, id long, distance double"
 
 
+def distances(v: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """A row for each query, a column for each vector."""
+    product = q @ v.T
+    if metric == "cosine":
+        return 1 - np.clip(product, -1, 1)
+    if metric == "dot":
+        return -product
+    return np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * product, 0))
+
+
+class Nearest:
+    """The k nearest so far of each query, ties to the smaller id; places not yet taken are infinitely far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.ids, self.distance = np.zeros((queries, 0), np.int64), np.zeros((queries, 0))
+
+    def add(self, ids: np.ndarray, distance: np.ndarray) -> None:
+        if distance.shape[1] > self.k:
+            # all up to the k-th distance may be among the k nearest; of equally far ones the smaller ids are
+            kth = np.partition(distance, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            near = distance <= kth
+            width = int(near.sum(axis=1).max())
+            order = np.argsort(~near, axis=1, kind="stable")[:, :width] if width < distance.shape[1] else np.broadcast_to(np.arange(distance.shape[1]), distance.shape)
+            some, far = ids[order], np.where(np.take_along_axis(near, order, 1), np.take_along_axis(distance, order, 1), np.inf)
+        else:
+            some, far = np.broadcast_to(ids, distance.shape), distance
+        all_ids, all_far = np.concatenate((self.ids, some), axis=1), np.concatenate((self.distance, far), axis=1)
+        order = np.lexsort((all_ids, all_far), axis=1)[:, : self.k]
+        self.ids, self.distance = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_far, order, 1)
+
+
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", key: str = "vec_id", query_key: str = "vec_id", column: str = "embedding", most_queries: int = 20_000, round_to: int | None = None) -> DataFrame:
     """(qid, id, distance, rank): the k nearest of every query, by matrix products over batches of vectors.
 
-    Up to ``most_queries`` queries are broadcast, counted first; more pass in blocks of that size, one scan each. Every
-    batch keeps its k nearest of each query, so what is shuffled does not grow with the vectors' width."""
+    Up to ``most_queries`` queries are broadcast, counted first; more pass in blocks of that size, one scan each. A task
+    keeps the k nearest of each query over all its batches and emits them once, so what is shuffled grows with tasks
+    and queries, and not with the vectors."""
     spark = vectors.sparkSession
-    asked = queries.select(F.col(query_key).cast("long").alias("q"), F.col(column).cast("array<double>").alias("v"))
+    asked = queries.select(F.col(query_key).cast("long").alias("q"), F.col(column).cast("array<double>").alias("v")).where("v is not null")
     count = asked.count()
     parts = max(1, -(-count // most_queries))
     out = None
@@ -69,24 +102,18 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str =
         shared = spark.sparkContext.broadcast((block.q.to_numpy(), np.stack(block.v.to_numpy())))
 
         def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
+            qids, q = shared.value
+            best = Nearest(len(qids), k)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                v = batch.column(1).flatten().to_numpy().reshape(len(own), -1)
-                product = v @ q.T
-                if metric == "cosine":
-                    distance = 1 - np.clip(product, -1, 1)
-                elif metric == "dot":
-                    distance = -product
-                else:
-                    distance = np.sqrt(np.maximum((v * v).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * product, 0))
-                if round_to is not None:
-                    distance = np.round(distance, round_to)
-                for c in range(len(ids)):
-                    best = np.lexsort((own, distance[:, c]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[c])), pa.array(own[best]), pa.array(distance[best, c])], names=["qid", "id", "distance"])
+                # so many rows at once that the distances to all queries take a bounded room
+                for low in range(0, batch.num_rows, max(1, 4_000_000 // len(qids))):
+                    some = batch.slice(low, max(1, 4_000_000 // len(qids)))
+                    v = some.column(1).flatten().to_numpy().reshape(some.num_rows, -1)
+                    distance = distances(v, q, metric)
+                    best.add(some.column(0).to_numpy(), distance if round_to is None else np.round(distance, round_to))
+            ids, found, valid = best.ids, best.distance, np.isfinite(best.distance)
+            if valid.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, valid.sum(axis=1))), pa.array(ids[valid]), pa.array(found[valid])], names=["qid", "id", "distance"])
 
         found = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("v is not null").mapInArrow(nearest, BATCH)
         out = found if out is None else out.union(found)
@@ -95,10 +122,3 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
-
-def bq_rerank(vectors: DataFrame, query: DataFrame, k: int = 10, candidates: int = 200, key: str = "vec_id", column: str = "embedding", round_to: int | None = None) -> DataFrame:
-    """The nearest by 1-bit distance, then by cosine: approximate, with a scan of bits first."""
-    rows = vectors.select(F.col(key).alias("id"), F.col(column).alias("__v")).crossJoin(_one(query, column))
-    near = rows.select("id", quantize.bq_distance(quantize.bq(F.col("__v")), quantize.bq(F.col("__q"))).alias("bits")).orderBy("bits", "id").limit(candidates)
-    few = vectors.join(F.broadcast(near.select(F.col("id").alias(key))), key, "left_semi")
-    return knn(few, query, k, key=key, column=column, round_to=round_to)

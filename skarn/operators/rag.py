@@ -46,9 +46,10 @@ def picked_sentences(contexts: DataFrame, question: Column | str, preset: Preset
     return rows.select("qid", "rank", "ord", "sentence", "score")
 
 
-def answer(contexts: DataFrame, question: Column | str, preset: Preset = LIBRARY) -> DataFrame:
+def answer(contexts: DataFrame, question: Column | str, preset: Preset = LIBRARY, asked: DataFrame | None = None) -> DataFrame:
     """(qid, summary, bullet_points, citations, confidence) for contexts (qid, ord, id, document_name, chunk_index, text),
-    a row per qid that has a context; the first context's lead stands in where no sentence holds a term."""
+    a row per qid that has a context; the first context's lead stands in where no sentence holds a term. Of ``asked``,
+    a table with a column qid, each question without a context gets the answer that nothing was found, of confidence 0."""
     picked = picked_sentences(contexts, question, preset).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", F.concat("sentence", F.lit(" ["), F.col("ord").cast("string"), F.lit("]")).alias("s")))).alias("picked"))
     cited = contexts.where("ord <= 5").withColumn("c", F.struct(F.col("ord").cast("int").alias("index"), F.col("id").cast("string").alias("chunk_id"), "document_name", "chunk_index", excerpt(F.col("text"), preset.excerpt, preset.trim).alias("excerpt")))
     lead = F.element_at(F.split("text", r"(?<=[.!?])\s+"), 1)
@@ -60,13 +61,18 @@ def answer(contexts: DataFrame, question: Column | str, preset: Preset = LIBRARY
     texts = F.transform(F.col("picked"), lambda p: p["s"])
     none = 0.5 if preset.fallback is None else preset.base
     citations = F.when(found, F.col("citations")).otherwise(F.slice("citations", 1, 1)) if preset.fallback is None else F.col("citations")
-    return rows.select(
+    answers = rows.select(
         "qid",
         F.when(found, F.element_at(texts, 1)).otherwise(F.col("lead")).alias("summary"),
         F.when(found, F.slice(texts, F.lit(2), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<string>")).alias("bullet_points"),
         citations.alias("citations"),
         F.when(found, F.least(F.lit(preset.most), F.lit(preset.base) + n * 0.1)).otherwise(F.lit(none)).alias("confidence"),
     )
+    if asked is None:
+        return answers
+    types = dict(answers.dtypes)
+    without = asked.select("qid").distinct().join(contexts.select("qid"), "qid", "left_anti")
+    return answers.unionByName(without.select("qid", F.lit(NOTHING).alias("summary"), *(F.array().cast(types[c]).alias(c) for c in ("bullet_points", "citations")), F.lit(0.0).alias("confidence")))
 
 
 def last_turns(turns: DataFrame, n: int = 6) -> DataFrame:
