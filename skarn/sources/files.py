@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +31,11 @@ def pdf_text(pages: DataFrame) -> DataFrame:
 def named_by_url(rows: DataFrame, url: str = "url") -> DataFrame:
     """With a column ``name``, the last segment of the URL's path."""
     return rows.withColumn("name", url_filename(F.col(url)))
+
+
+def samples(spark: SparkSession) -> DataFrame:
+    """(name, text, size_bytes) of the documents that come with the package. They are read on the driver, as the
+    package's folder need not be shared, and are few."""
+    folder = Path(__file__).parent.parent / "samples"
+    rows = [(p.name, p.read_text(encoding="utf-8"), p.stat().st_size) for p in sorted(folder.glob("*.md"))]
+    return spark.createDataFrame(rows, "name string, text string, size_bytes long")

@@ -130,9 +130,15 @@ def snapshot_rows(nodes: DataFrame, chunks: DataFrame | None = None, form: str =
     spark = nodes.sparkSession
     if chunks is None:
         chunks = spark.createDataFrame([], "shard int, " + ", ".join(f"{c} string" for c in CHUNK_COLUMNS))
+    # columns of their own, as the chunks may come from the nodes
+    chunks = chunks.select(F.expr("shard + 0").cast("int").alias("shard"), *CHUNK_COLUMNS)
     return nodes.groupBy("shard").cogroup(chunks.groupBy("shard")).applyInPandas(write, "shard int, content binary")
 
 
+def _opened(data: bytes, form: str, signature: str = JSON_TYPE) -> Snapshot:
+    return from_binary(bytes(data)) if form == "binary" else from_json(bytes(data).decode(), signature)
+
+
 def read_snapshots(files: DataFrame, form: str = "binary", content: str = "content") -> DataFrame:
     """The nodes in snapshot files (a binary column): (node, id, level, vector, neighbors)."""
 
@@ -140,13 +146,36 @@ def read_snapshots(files: DataFrame, form: str = "binary", content: str = "conte
         for batch in batches:
             rows = []
             for data in batch[content]:
-                s = from_binary(bytes(data)) if form == "binary" else from_json(bytes(data).decode())
-                rows += [(k, i, level, v, layers) for k, (i, level, v, layers) in enumerate(s.nodes)]
+                rows += [(k, i, level, v, layers) for k, (i, level, v, layers) in enumerate(_opened(data, form).nodes)]
             yield pd.DataFrame(rows, columns=["node", "id", "level", "vector", "neighbors"])
 
     return files.select(content).mapInPandas(read, "node int, id string, level int, vector array<float>, neighbors array<array<int>>")
 
 
+def read_headers(files: DataFrame, form: str = "binary", content: str = "content") -> DataFrame:
+    """The parameters of each snapshot file, where its search enters, and how much it holds."""
+    fields = "m int, m0 int, ef_construction int, ef_search int, metric string, quantization string, entry int, max_level int, nodes int, chunks int"
+
+    def read(batches):
+        for batch in batches:
+            made = [_opened(data, form) for data in batch[content]]
+            rows = [(s.m, s.m0, s.ef_construction, s.ef_search, s.metric, s.quantization, s.entry, s.max_level, len(s.nodes), len(s.chunks)) for s in made]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in fields.split(", ")], dtype=object)
+
+    return files.select(content).mapInPandas(read, fields)
+
+
+def read_chunks(files: DataFrame, form: str = "binary", content: str = "content") -> DataFrame:
+    """The chunks in snapshot files."""
+
+    def read(batches):
+        for batch in batches:
+            rows = [[c.get(f) for f in CHUNK_FIELDS] for data in batch[content] for c in _opened(data, form).chunks]
+            yield pd.DataFrame(rows, columns=list(CHUNK_COLUMNS), dtype=object)
+
+    return files.select(content).mapInPandas(read, "id string, document_name string, chunk_index int, total_chunks int, text string, start_char int, end_char int, token_count_estimate int")
+
+
 def save_tables(path: str, nodes: DataFrame, chunks: DataFrame, **header) -> None:
     """A snapshot of any size: a folder of Parquet tables and a header row, written last."""
     if nodes.isEmpty():

@@ -31,3 +31,11 @@ def lines_of(parts: DataFrame, key: str = "stream", order: str = "seq", value: s
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda p: p[value]), "")
     rows = parts.groupBy(key).agg(whole.alias("w"))
     return rows.select(key, F.posexplode(F.split("w", "\n")).alias("seq", "line")).where("line <> ''")
+
+
+def progress_events(items: DataFrame, step: int = 5, batch: str = "batch") -> DataFrame:
+    """(batch, done, total, percent): an event after every ``step`` items of a batch and after its last; items are counted
+    by batch, so an event is made from a count and not from the items."""
+    totals = items.groupBy(batch).agg(F.count(F.lit(1)).alias("total"))
+    done = F.explode(F.array_distinct(F.concat(F.when(F.col("total") >= step, F.sequence(F.lit(step).cast("long"), F.col("total"), F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>")), F.array("total"))))
+    return totals.select(batch, done.alias("done"), "total").withColumn("percent", F.floor(F.col("done") / F.col("total") * 100 + 0.5).cast("int"))
