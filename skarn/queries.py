@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import quantize, text, vector
-from .functions.embed import hash_embedding
+from .functions.embed import embedder
 from .operators import ann, bm25, chunk, hybrid, knn, metrics, project, rag
-from .sources import snapshot
+from .sources import scratch, snapshot
 from .sources.store import recent_searches
 from .streaming import ingest
 
@@ -18,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: The stored vector that most queries ask with, the question of the lexical ones, and a document to delete.
 QUERY_ID, QUESTION, LEFT_OUT = 7, "theoned license blethe hethe the inand blethe", 11
+#: The beam of the graph queries: wide enough to find what an exact scan finds in the tables that the tests read.
+EF = 256
 BM25_TERMS = "license version hesthe released the on-line"
 
 
@@ -172,59 +174,139 @@ def bq_dequantize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.transform(quantize.bq_decode(quantize.bq(F.col("embedding"))), lambda x: F.round(x, 6)).alias("value"))
 
 
-@query(f"WITH {V}, {BITS}, c AS (SELECT bits FROM w WHERE vec_id = {QUERY_ID}), n AS (SELECT vec_id FROM w, c ORDER BY {HAMMING}, vec_id LIMIT 200) SELECT vec_id AS id, round({COSINE}, 6) AS distance, round({CLAMPED_DOT}, 6) AS score FROM v SEMI JOIN n USING (vec_id), q ORDER BY 2, 1 LIMIT 10")
-def bq_prefilter_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return knn.bq_rerank(table(spark, d, "embeddings"), asked(spark, d), round_to=6)
+# graphs ----------------------------------------------------------------------------------------------------------------
 
 
-# graphs ----------------------------------------------------------------------------------------------------------------
+#: Tables made once for a session and an input, by name, folder and what the folder held.
+_KEPT: dict[tuple, object] = {}
 
 
-def _searched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """All vectors, and those of them that are asked for."""
-    vectors = table(spark, d, "embeddings")
-    return vectors, vectors.where("vec_id % 50 = 0")
+def kept(spark: SparkSession, d: str, source: str, name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once for this session and this state of the source table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{source}.parquet")
+    state = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
+    key = (spark.sparkContext.applicationId, d, source, name, state.getModificationTime(), state.getLen())
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def _graph(spark: SparkSession, d: str, config: ann.GraphConfig = ann.GraphConfig()) -> DataFrame:
+    """The graph of all vectors, built once and written."""
+    return kept(spark, d, "embeddings", f"graph-{config}", lambda: scratch.written(ann.build_graph(table(spark, d, "embeddings"), config), "graph"))
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """Every 50th vector, asked for among all vectors."""
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0")
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    return rows.select("qid", "id", F.abs(F.round("distance", 6)).alias("distance"), F.round("score", 6).alias("score"), "rank")
+
+
+def _exact_sql(k: int, where: str = "true", distance: str = f"1 - {CLAMP.format('list_dot_product(b.e, a.e)', '-1.0', '1.0')}", vectors: str = "v") -> str:
+    """What an exact scan finds: with a wide beam the graph finds the same."""
+    return f"""p AS (SELECT a.vec_id AS qid, b.vec_id AS id, {distance} AS d FROM {vectors} a, {vectors} b JOIN embeddings m ON m.vec_id = b.vec_id WHERE a.vec_id % 50 = 0 AND {where}),
+        r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM p)
+        SELECT qid, id, abs(round(d, 6)) AS distance, round(greatest(0.0, least(1.0, 1 - d)), 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= {k}"""
 
 
-@query("SELECT vec_id AS id FROM embeddings")
+# the level that a hash of the id draws; links are those of the layers, at most 32 in the lowest and 16 above
+LEVELS = """h0 AS (SELECT vec_id AS id, CAST((CAST(vec_id + 42 AS UHUGEINT) * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS x FROM embeddings),
+    h1 AS (SELECT id, CAST((CAST(xor(x, x >> 30) AS UHUGEINT) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS x FROM h0),
+    lv AS (SELECT id, CAST(floor(-ln(greatest(CAST(xor(x, x >> 31) >> 11 AS DOUBLE) / 9007199254740992, 1e-12)) / ln(16)) AS INT) AS level FROM h1)"""
+
+
+@query(f"WITH {LEVELS} SELECT id, level, CAST(level + 1 AS BIGINT) AS layers, true AS bounded, true AS linked FROM lv")
 def hnsw_build(spark: SparkSession, d: str) -> DataFrame:
-    return ann.build_graph(table(spark, d, "embeddings")).select("id")
+    rows = ann.degrees(_graph(spark, d))
+    most = F.when(F.col("layer") == 0, 32).otherwise(16)
+    return rows.groupBy("id", "level").agg(F.count(F.lit(1)).alias("layers"), F.bool_and(F.col("degree") <= most).alias("bounded"), F.bool_and((F.col("degree") > 0) | (F.col("layer") > 0)).alias("linked"))
 
 
-@query()
+@query(f"WITH {V}, {_exact_sql(10)}")
 def hnsw_search(spark: SparkSession, d: str) -> DataFrame:
-    vectors, queries = _searched(spark, d)
-    return ann.search_graph(ann.build_graph(vectors), queries, 10, ef=64)
+    return _found(ann.search_graph(_graph(spark, d), _asked(spark, d), 10, ef=EF))
 
 
-@query()
+@query(f"WITH {V}, {_exact_sql(5, 'm.label < 5')}")
 def hnsw_filtered(spark: SparkSession, d: str) -> DataFrame:
-    vectors, queries = _searched(spark, d)
-    return ann.search_graph(ann.build_graph(vectors), queries, 5, ef=64, allowed=vectors.where("label < 5").select("vec_id"))
+    return _found(ann.search_graph(_graph(spark, d), _asked(spark, d), 5, ef=EF, allowed=table(spark, d, "embeddings").where("label < 5").select("vec_id")))
 
 
-@query()
+SQ8_DISTANCE = f"1 - {CLAMP.format('list_sum(list_transform(range(1, len(a.data) + 1), lambda i: a.data[i] * b.data[i])) * a.scale * b.scale', '-1.0', '1.0')}"
+
+
+@query(f"WITH {V}, {SQ8}, {_exact_sql(5, 'true', SQ8_DISTANCE, 'z')}")
 def hnsw_quantized(spark: SparkSession, d: str) -> DataFrame:
-    vectors, queries = _searched(spark, d)
     config = ann.GraphConfig(quantization="sq8")
-    return ann.search_graph(ann.build_graph(vectors, config), queries, 5, config, ef=64)
+    return _found(ann.search_graph(_graph(spark, d, config), _asked(spark, d), 5, config, ef=EF))
 
 
-@query()
+@query(f"WITH {V}, {SQ8}, {_exact_sql(5, 'true', SQ8_DISTANCE, 'z')}")
+def hnsw_switched(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of single-precision vectors, switched to eight bits."""
+    nodes, config = ann.switch_quantization(_graph(spark, d), ann.GraphConfig(), "sq8")
+    return _found(ann.search_graph(nodes, _asked(spark, d), 5, config, ef=EF))
+
+
+@query(f"WITH {V}, {_exact_sql(5, 'm.vec_id % 3 <> 0')}")
 def hnsw_tombstones(spark: SparkSession, d: str) -> DataFrame:
-    vectors, queries = _searched(spark, d)
-    return ann.search_graph(ann.build_graph(vectors), queries, 5, ef=64, tombstones=vectors.where("vec_id % 3 = 0").select("vec_id"))
+    return _found(ann.search_graph(_graph(spark, d), _asked(spark, d), 5, ef=EF, tombstones=table(spark, d, "embeddings").where("vec_id % 3 = 0").select("vec_id")))
 
 
-@query("SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 <> 0")
+@query(f"WITH {LEVELS}, live AS (SELECT * FROM lv WHERE id % 3 <> 0) SELECT id, level, CAST(row_number() OVER (ORDER BY id) - 1 AS INT) AS node, true AS links_live FROM live")
 def hnsw_compact(spark: SparkSession, d: str) -> DataFrame:
-    vectors = table(spark, d, "embeddings")
-    return ann.compact(ann.build_graph(vectors), vectors.where("vec_id % 3 = 0").select("vec_id")).select("id")
+    rows = ann.compact(_graph(spark, d), table(spark, d, "embeddings").where("vec_id % 3 = 0").select("vec_id"))
+    live = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    whole = F.forall("neighbors", lambda layer: F.forall(layer, lambda x: (x >= 0) & (x < F.col("n")) & (x != F.col("node"))))
+    return rows.join(live, "shard").select("id", "level", "node", whole.alias("links_live"))
 
 
-@query()
+@query("SELECT count(*) AS size, count(*) FILTER (vec_id % 3 <> 0) AS active_size FROM embeddings")
+def index_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return ann.sizes(_graph(spark, d), table(spark, d, "embeddings").where("vec_id % 3 = 0").select("vec_id"))
+
+
+@query("SELECT 100.0::DOUBLE AS recall, 'green' AS grade")
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    return ann.audit(*_searched(spark, d), 10, ef=64)
+    """Of the queries by the ids divisible by 50, with the beam that the other queries have."""
+    vectors = table(spark, d, "embeddings")
+    found = ann.search_graph(_graph(spark, d), _asked(spark, d), 10, ef=EF)
+    return ann.recall(found, knn.knn_batch(vectors, _asked(spark, d), 10), 10).select("recall", metrics.grade(F.col("recall")).alias("grade"))
+
+
+PROBES = "q AS (SELECT i AS qid, list_transform(range(0, dim), lambda x: CAST(CAST(sin(i * {step} + x * {rise}) AS FLOAT) AS DOUBLE)) AS q FROM range({n}) t(i), (SELECT max(len(e)) AS dim FROM v))"
+
+
+@query(f"WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), {PROBES.format(step=13, rise=0.7, n=20)}, p AS (SELECT qid, vec_id AS id, round(1 - {CLAMP.format(DOT, '-1.0', '1.0')}, 6) AS distance FROM v, q), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, id) AS rank FROM p) SELECT qid, id, abs(distance) AS distance, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
+def audit_exact(spark: SparkSession, d: str) -> DataFrame:
+    """What the audit's twenty fixed queries should find."""
+    vectors = table(spark, d, "embeddings")
+    dim = vectors.select(F.max(F.size("embedding"))).first()[0] or 0
+    return knn.knn_batch(vectors, ann.probe_queries(spark, dim), 10, round_to=6).withColumn("distance", F.abs("distance"))
+
+
+@query("SELECT 20 AS checked, 10 AS k, true AS graded")
+def audit_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The audit itself: twenty fixed queries, the graph's ten nearest against the exact ones."""
+    vectors = table(spark, d, "embeddings")
+    dim = vectors.select(F.max(F.size("embedding"))).first()[0] or 0
+    probes = ann.probe_queries(spark, dim)
+    result = ann.recall(ann.search_graph(_graph(spark, d), probes, 10, ef=EF), knn.knn_batch(vectors, probes, 10), 10)
+    return result.select(F.lit(20).alias("checked"), F.lit(10).alias("k"), metrics.grade(F.col("recall")).isin("green", "amber").alias("graded"))
+
+
+@query("SELECT 100 AS iterations, true AS ordered")
+def search_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred fixed queries for the five nearest, timed one after another. Times differ from run to run; their number
+    and order do not."""
+    dim = table(spark, d, "embeddings").select(F.max(F.size("embedding"))).first()[0] or 0
+    times = ann.time_searches(_graph(spark, d), ann.probe_queries(spark, dim, 100, 17, 1), 5)
+    of_query = times.groupBy("qid").agg(F.sum("ms").alias("ms"))
+    ordered = (F.col("p50") <= F.col("p95")) & (F.col("p95") <= F.col("p99")) & (F.col("qps") > 0)
+    return metrics.latency(of_query, "ms").select(F.col("iterations").cast("int").alias("iterations"), ordered.alias("ordered"))
 
 
 # text ------------------------------------------------------------------------------------------------------------------
@@ -246,19 +328,24 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("words"))
 
 
+def _index(spark: SparkSession, d: str) -> bm25.BM25Index:
+    """The lexical index of the documents, built once and saved."""
+    return kept(spark, d, "documents", "lexical", lambda: bm25.BM25Index.build(table(spark, d, "documents")).save(scratch.new_path(spark, "lexical")))
+
+
 @query(f"WITH {TOK}, {POST} SELECT * FROM post")
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.BM25Index.build(table(spark, d, "documents")).postings.select("term", "id", "tf")
+    return _index(spark, d).postings.select("term", "id", "tf")
 
 
 @query(f"WITH {TOK}, {STATS} SELECT n, CAST(total_dl AS BIGINT) AS total_dl, round(avgdl, 6) AS avgdl FROM st")
 def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.BM25Index.build(table(spark, d, "documents")).stats().withColumn("avgdl", F.round("avgdl", 6))
+    return _index(spark, d).stats().withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query(f"WITH {TOK}, {POST} SELECT term, count(*) AS df FROM post GROUP BY term")
 def term_df(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.BM25Index.build(table(spark, d, "documents")).document_frequency()
+    return _index(spark, d).document_frequency()
 
 
 def _bm25_sql(where: str = "true", k: int = 10, docs: str = "documents", extra: str = "") -> str:
@@ -271,24 +358,24 @@ def _bm25_sql(where: str = "true", k: int = 10, docs: str = "documents", extra:
 
 @query(_bm25_sql())
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.BM25Index.build(table(spark, d, "documents")).search(BM25_TERMS, round_to=6)
+    return _index(spark, d).search(BM25_TERMS, round_to=6)
 
 
 @query(_bm25_sql("id % 2 = 0", 5))
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.BM25Index.build(table(spark, d, "documents")).search(BM25_TERMS, 5, "id % 2 = 0", round_to=6)
+    return _index(spark, d).search(BM25_TERMS, 5, "id % 2 = 0", round_to=6)
 
 
 @query(_bm25_sql(docs="(FROM documents WHERE doc_id % 7 <> 3)"))
 def bm25_after_delete(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return bm25.BM25Index.build(docs).remove(docs.where("doc_id % 7 = 3").select("doc_id")).search(BM25_TERMS, round_to=6)
+    return _index(spark, d).remove(docs.where("doc_id % 7 = 3").select("doc_id")).search(BM25_TERMS, round_to=6)
 
 
 @query(_bm25_sql(docs="(SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN text || ' released version' ELSE text END AS text FROM documents)"))
 def bm25_upsert(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return bm25.BM25Index.build(docs).add(docs.where("doc_id % 7 = 3").withColumn("text", F.concat("text", F.lit(" released version")))).search(BM25_TERMS, round_to=6)
+    return _index(spark, d).add(docs.where("doc_id % 7 = 3").withColumn("text", F.concat("text", F.lit(" released version")))).search(BM25_TERMS, round_to=6)
 
 
 @query(f"""WITH {TOK}, {POST}, {STATS}, qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({_tokens_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
@@ -296,12 +383,12 @@ def bm25_upsert(spark: SparkSession, d: str) -> DataFrame:
     s AS (SELECT qid, id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len(w) / avgdl)))), 6) AS score FROM qt JOIN post USING (term) JOIN df USING (term) JOIN tok USING (id), st GROUP BY qid, id),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) SELECT qid, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.BM25Index.build(table(spark, d, "documents")).search_batch(table(spark, d, "benchmark"), 5, round_to=6)
+    return _index(spark, d).search_batch(table(spark, d, "benchmark"), 5, round_to=6)
 
 
 @query(f"SELECT id, score, round(score / max(score) OVER (), 6) AS combined_score FROM ({_bm25_sql()})")
 def sparse_mode_normalised(spark: SparkSession, d: str) -> DataFrame:
-    return hybrid.relative_scores(bm25.BM25Index.build(table(spark, d, "documents")).search(BM25_TERMS, round_to=6), round_to=6)
+    return hybrid.relative_scores(_index(spark, d).search(BM25_TERMS, round_to=6), round_to=6)
 
 
 # hybrid ----------------------------------------------------------------------------------------------------------------
@@ -323,11 +410,7 @@ EMBEDDED = """ew AS (SELECT id, i, w[i] AS word, w[i - 1] AS before FROM (SELECT
 
 
 def _embedded(docs: DataFrame, key: str) -> DataFrame:
-    @F.pandas_udf("array<double>")
-    def embed(texts):
-        return texts.map(lambda t: hash_embedding(t, 64))
-
-    return docs.select(F.col(key).alias("id"), embed(F.col("text")).alias("v"))
+    return docs.select(F.col(key).alias("id"), embedder(dim=64, kind="double")(F.col("text")).alias("v"))
 
 
 @query(f"WITH {EMBEDDED.format(id='doc_id', text='text', docs='documents')} SELECT id, p AS place, round(x, 6) AS value FROM en WHERE x <> 0")
@@ -341,13 +424,13 @@ _DENSE = f"WITH {EMBEDDED.format(id='doc_id', text='text', docs='documents')}, m
 
 def _dense(spark: SparkSession, d: str) -> DataFrame:
     """The documents nearest to document 5, by hash embeddings."""
-    rows = _embedded(table(spark, d, "documents"), "doc_id")
-    return knn.knn(rows, _embedded(table(spark, d, "documents").where("doc_id = 5"), "doc_id"), 20, key="id", column="v", round_to=6).select("id", "score")
+    rows = kept(spark, d, "documents", "embedded", lambda: scratch.written(_embedded(table(spark, d, "documents"), "doc_id"), "embedded"))
+    return knn.knn(rows, rows.where("id = 5"), 20, key="id", column="v", round_to=6).select("id", "score")
 
 
 @query(_rrf_sql(_DENSE, _bm25_sql(k=20), 10))
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    return hybrid.reciprocal_rank_fusion(_dense(spark, d), bm25.BM25Index.build(table(spark, d, "documents")).search(BM25_TERMS, 20, round_to=6), round_to=6)
+    return hybrid.reciprocal_rank_fusion(_dense(spark, d), _index(spark, d).search(BM25_TERMS, 20, round_to=6), round_to=6)
 
 
 @query(_rrf_sql("SELECT doc_id AS id, CAST(n_chars AS DOUBLE) AS score FROM documents ORDER BY n_chars DESC, doc_id LIMIT 30", "SELECT doc_id AS id, CAST(doc_id % 97 AS DOUBLE) AS score FROM documents ORDER BY doc_id % 97 DESC, doc_id LIMIT 30", 25))
@@ -388,7 +471,14 @@ def recursive_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).select("id", "document_name", "chunk_index", "total_chunks", "text", "token_count_estimate")
 
 
-@query()
+def _placed_sql(chunks: str, text: str) -> str:
+    """Of lists of chunks t and their text, the places found one after another."""
+    at = f"strpos(substring({text}, CAST(a.at + 1 AS BIGINT)), x[1:30])"
+    start = f"(CASE WHEN {at} > 0 THEN a.at + {at} - 1 ELSE a.at END)"
+    return f"list_reduce(list_prepend({{'at': 0::BIGINT, 'out': []::BIGINT[], 'x': ''}}, list_transform({chunks}, lambda x: {{'at': 0::BIGINT, 'out': []::BIGINT[], 'x': x}})), lambda a, y: {{'at': {start.replace('x[1:30]', 'y.x[1:30]')} + len(y.x), 'out': list_append(a.out, {start.replace('x[1:30]', 'y.x[1:30]')}), 'x': ''}}).out"
+
+
+@query(f"WITH {CHUNKS}, w AS (SELECT c.doc_id, t, {_placed_sql('t', 'd.text')} AS starts FROM chunks c JOIN documents d USING (doc_id)) SELECT CAST(doc_id AS VARCHAR) || '-chunk-' || i AS id, CAST(starts[i] AS INT) AS start_char, CAST(starts[i] + len(t[i]) AS INT) AS end_char FROM w, unnest(range(1, len(t) + 1)) AS u(i)")
 def chunk_offsets(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).select("id", "start_char", "end_char")
 
@@ -408,10 +498,22 @@ def document_names(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).select("document_name").distinct()
 
 
-@query()
+_DECLARED = "|".join("(" + p.pattern[1:] + ")" for p in chunk.DECLARATIONS).replace("'", "''")
+#: Pages as if they were code: a tag a line, with paragraphs as functions and list items as objects.
+CODE = f"""src AS (SELECT CAST(page_id AS VARCHAR) || (CASE WHEN page_id % 3 = 0 THEN '.json' ELSE '.py' END) AS name, page_id % 3 = 0 AS json,
+        string_split(replace(replace(replace(html, '><', '>' || chr(10) || '<'), '<p>', 'def p(x):' || chr(10)), '<li>', '{{' || chr(10)), chr(10)) AS l FROM pages),
+    dec AS (SELECT name, l, list_filter(range(0, len(l)), lambda i: regexp_matches({_STRIP.format('l[CAST(i + 1 AS INT)]')}, '^({_DECLARED})') OR (json AND left({_STRIP.format('l[CAST(i + 1 AS INT)]')}, 1) IN ('{{', '}}', '['))) AS b FROM src),
+    cut(name, n, low, high) AS (SELECT name, 0, 0::BIGINT, coalesce(list_filter(b, lambda x: x > 15 AND x <= least(len(l), 45))[1], least(len(l), 45)) FROM dec
+        UNION ALL SELECT c.name, n + 1, greatest(low + 1, high - 8), coalesce(list_filter(b, lambda x: x > greatest(high, greatest(low + 1, high - 8) + 15) AND x <= least(len(l), greatest(low + 1, high - 8) + 45))[1], least(len(l), greatest(low + 1, high - 8) + 45))
+        FROM cut c JOIN dec USING (name) WHERE high < len(l)),
+    piece AS (SELECT name, n, {_STRIP.format("array_to_string(l[CAST(low + 1 AS INT) : CAST(high AS INT)], chr(10))")} AS text FROM cut JOIN dec USING (name))"""
+
+
+@query(f"WITH RECURSIVE {CODE}, k AS (SELECT name, text, row_number() OVER (PARTITION BY name ORDER BY n) AS i, count(*) OVER (PARTITION BY name) AS total FROM piece WHERE text <> '') SELECT name || '-code-' || i AS id, name AS document_name, CAST(i AS INT) AS chunk_index, CAST(total AS INT) AS total_chunks, text, CAST(greatest(1, floor(len(text) / 4 + 0.5)) AS INT) AS token_count_estimate FROM k")
 def code_chunks(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.regexp_replace("html", "><", ">\n<").alias("text"))
-    return chunk.chunk_code(pages)
+    name = F.concat(F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, ".json").otherwise(".py"))
+    code = F.replace(F.replace(F.replace(F.col("html"), F.lit("><"), F.lit(">\n<")), F.lit("<p>"), F.lit("def p(x):\n")), F.lit("<li>"), F.lit("{\n"))
+    return chunk.chunk_code(table(spark, d, "pages").select(name.alias("name"), code.alias("text"))).drop("start_char", "end_char")
 
 
 @query(f"WITH {CHUNKS} SELECT document_name, chunk_index, text FROM chunk WHERE document_name <> '{LEFT_OUT}'")
@@ -473,6 +575,15 @@ def rag_worker_answer(spark: SparkSession, d: str) -> DataFrame:
     return _answer(spark, d, rag.WORKER)
 
 
+@query(f"SELECT source AS qid, '{rag.NOTHING}' AS summary, 0 AS bullets, 0 AS citations, 0.0::DOUBLE AS confidence FROM documents GROUP BY source HAVING min(doc_id) > 3 UNION ALL SELECT 'nobody', '{rag.NOTHING}', 0, 0, 0.0")
+def rag_nothing_found(spark: SparkSession, d: str) -> DataFrame:
+    """Questions without contexts among those that have some."""
+    contexts = _contexts(spark, d).where("CAST(document_name AS INT) <= 3")
+    asked = table(spark, d, "documents").select(F.col("source").alias("qid")).union(spark.range(1).select(F.lit("nobody")))
+    rows = rag.answer(contexts, RAG_TERMS, asked=asked).where("confidence = 0")
+    return rows.select("qid", "summary", F.size("bullet_points").alias("bullets"), F.size("citations").alias("citations"), "confidence")
+
+
 @query(f"WITH {CONTEXTS} SELECT qid, CAST(ord AS INT) AS index, doc_id || '-chunk-1' AS chunk_id, CAST(doc_id AS VARCHAR) AS document_name, text[1:180] || '...' AS excerpt FROM ctx WHERE EXISTS (SELECT 1 FROM ctx c WHERE c.qid = ctx.qid AND contains(lower(c.text), 'the'))")
 def rag_citations(spark: SparkSession, d: str) -> DataFrame:
     rows = rag.answer(_contexts(spark, d), "the").where("confidence > 0.5").select("qid", F.explode("citations").alias("c"))
@@ -531,16 +642,44 @@ def pca_mean(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, x) for k, x in enumerate(model.mean)], "place int, mean double").withColumn("mean", F.round("mean", 6))
 
 
-@query()
+def _power_sql(name: str, start: str, before: list[str]) -> str:
+    """Fifteen steps of power iteration, as x and its direction, on the scatter without the directions before."""
+
+    def away(x: str, names: list[str]) -> str:
+        for n in names:
+            x = f"(SELECT list_transform(range(1, len(y) + 1), lambda i: y[i] - {n}.w[i] * list_dot_product(y, {n}.w)) FROM (SELECT {x} AS y), {n})"
+        return x
+
+    unit = "(SELECT list_transform(u, lambda c: c / sqrt(list_dot_product(u, u))) FROM (SELECT {0} AS u))"
+    inside = away("s.x", before[::-1])
+    product = f"(SELECT list_transform(g.g, lambda r: list_dot_product(r, t)) FROM g, (SELECT {inside} AS t))"
+    first = unit.format(f"list_transform(range(1, d.dim + 1), lambda i: {start})")
+    return f"""{name}s(k, x) AS (SELECT 0, {first} FROM d UNION ALL SELECT k + 1, {unit.format(away(product, before))} FROM {name}s s WHERE k < 15), {name} AS (SELECT x AS w FROM {name}s WHERE k = 15)"""
+
+
+PCA = f"""d AS (SELECT max(len(embedding)) AS dim FROM embeddings), v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    m AS (SELECT list(a ORDER BY p) AS m FROM (SELECT p, avg(e[p]) AS a FROM v, unnest(range(1, len(e) + 1)) AS u(p) GROUP BY p)),
+    z AS (SELECT vec_id, list_transform(range(1, len(e) + 1), lambda i: e[i] - m[i]) AS z FROM v, m),
+    g AS (SELECT list(r ORDER BY i) AS g FROM (SELECT i, list(s ORDER BY j) AS r FROM (SELECT i, j, sum(z[i] * z[j]) AS s FROM z, unnest(range(1, len(z) + 1)) AS a(i), unnest(range(1, len(z) + 1)) AS b(j) GROUP BY i, j) GROUP BY i)),
+    {_power_sql("c1", "sin(i)", [])}, {_power_sql("c2", "cos(i)", ["c1"])}, {_power_sql("c3", "sin(2 * i)", ["c1", "c2"])},
+    pr AS (SELECT vec_id, list_dot_product(z, c1.w) AS a, list_dot_product(z, c2.w) AS b, list_dot_product(z, c3.w) AS c FROM z, c1, c2, c3),
+    sh AS (SELECT vec_id, (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ()) AS a, (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) AS b, (c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()) AS c FROM pr)"""
+
+
+def _rounded(rows: DataFrame, columns: str) -> DataFrame:
+    return rows.select("id", *(F.round(c, 4).alias(c) for c in columns))
+
+
+@query(f"WITH RECURSIVE {PCA} SELECT vec_id AS id, round(a, 4) AS x, round(b, 4) AS y FROM sh")
 def pca_project2d(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
-    return project.project_2d(vectors, project.fit_pca(vectors))
+    return _rounded(project.project_2d(vectors, project.fit_pca(vectors)), "xy")
 
 
-@query()
+@query(f"WITH RECURSIVE {PCA} SELECT vec_id AS id, round(2 * a - 1, 4) AS x, round(2 * b - 1, 4) AS y, round(2 * c - 1, 4) AS z FROM sh")
 def pca_project3d(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
-    return project.project_3d(vectors, project.fit_pca(vectors))
+    return _rounded(project.project_3d(vectors, project.fit_pca(vectors)), "xyz")
 
 
 @query()
@@ -572,6 +711,47 @@ def camera_project(spark: SparkSession, d: str) -> DataFrame:
     return project.camera(points, 0.5, 0.25).select("id", *(F.round(c, 6).alias(c) for c in ("sx", "sy", "depth", "scale")))
 
 
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the even vectors, one in five of them without a name."""
+    name = F.when(F.col("vec_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("label-"), F.col("label").cast("string")))
+    return table(spark, d, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), name.alias("document_name"))
+
+
+_NAME = "CASE WHEN vec_id % 2 = 0 AND vec_id % 5 <> 0 THEN 'label-' || label ELSE 'unknown' END"
+
+
+@query(f"SELECT vec_id AS id, {_NAME} AS document_name FROM embeddings")
+def point_documents(spark: SparkSession, d: str) -> DataFrame:
+    return project.labelled(_points(spark, d), _named(spark, d)).select("id", "document_name")
+
+
+@query(f"WITH near AS ({knn_sql(COSINE, CLAMPED_DOT)}) SELECT vec_id AS id, vec_id IN (SELECT id FROM near) AS is_top, vec_id % 7 = 0 AS is_selected FROM embeddings")
+def point_marks(spark: SparkSession, d: str) -> DataFrame:
+    top = knn.knn(table(spark, d, "embeddings"), asked(spark, d), round_to=6).select("id")
+    chosen = table(spark, d, "embeddings").where("vec_id % 7 = 0").select("vec_id")
+    return project.marked(project.marked(_points(spark, d), "is_top", top), "is_selected", chosen).select("id", "is_top", "is_selected")
+
+
+@query(f"SELECT count(*) AS points, count(DISTINCT nullif(n, 'unknown')) AS documents FROM (SELECT {_NAME} AS n FROM embeddings WHERE vec_id % 7 = 0)")
+def selected_documents(spark: SparkSession, d: str) -> DataFrame:
+    return project.selected_documents(table(spark, d, "embeddings").where("vec_id % 7 = 0").select("vec_id"), _named(spark, d))
+
+
+_SEEN = f"p AS (SELECT id, x / 100 AS x, y / 100 AS y, z FROM ({_POINTS})), r AS (SELECT id, x * sin(0.5) + z * cos(0.5) AS z1, y FROM p), t AS (SELECT id, round(y * sin(0.25) + z1 * cos(0.25) + 2.5, 6) AS depth FROM r)"
+
+
+@query(f"WITH {_SEEN} SELECT id, depth, CAST(row_number() OVER (ORDER BY depth DESC, id) AS INT) AS painted FROM t")
+def painting_order(spark: SparkSession, d: str) -> DataFrame:
+    points = _points(spark, d).select("id", (F.col("x") / 100).alias("x"), (F.col("y") / 100).alias("y"), "z")
+    seen = project.back_to_front(project.camera(points, 0.5, 0.25).select("id", F.round("depth", 6).alias("depth")))
+    return seen.select("id", "depth", F.row_number().over(Window.orderBy(F.desc("depth"), "id")).alias("painted"))
+
+
+@query("SELECT source AS batch, least(i * 5, n) AS done, n AS total, CAST(floor(least(i * 5, n) / n * 100 + 0.5) AS INT) AS percent FROM (SELECT source, count(*) AS n FROM documents GROUP BY source), unnest(range(1, CAST(ceil(n / 5) AS BIGINT) + 1)) AS u(i)")
+def progress_events(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.progress_events(table(spark, d, "documents").select(F.col("source").alias("batch")))
+
+
 # names, figures, snapshots, streams ------------------------------------------------------------------------------------
 
 
@@ -596,13 +776,23 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return metrics.latency(table(spark, d, "events"), "value").withColumn("avg", F.round("avg", 6))
 
 
+def _files(spark: SparkSession, d: str, form: str) -> DataFrame:
+    """Snapshot files of the graph, each with a chunk per vector, written once."""
+    nodes = _graph(spark, d)
+    text = F.concat(F.lit("text of "), F.col("id").cast("string"))
+    chunks = nodes.select("shard", F.col("id").cast("string").alias("id"), F.concat(F.lit("document-"), (F.col("id") % 9).cast("string")).alias("document_name"), F.lit(1).alias("chunk_index"), F.lit(1).alias("total_chunks"), text.alias("text"), F.lit(0).alias("start_char"), F.length(text).alias("end_char"), F.lit(2).alias("token_count_estimate"))
+    return kept(spark, d, "embeddings", f"snapshot-{form}", lambda: scratch.written(snapshot.snapshot_rows(nodes, chunks, form, ef_search=48), f"snapshot-{form}"))
+
+
 def _roundtrip(spark: SparkSession, d: str, form: str) -> DataFrame:
-    files = snapshot.snapshot_rows(ann.build_graph(table(spark, d, "embeddings")), form=form)
-    rows = snapshot.read_snapshots(files, form)
-    return rows.select(F.col("id").cast("long").alias("id"), F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"))
+    """What comes back, beside the graph that was written: vectors, levels, node numbers and links."""
+    rows = snapshot.read_snapshots(_files(spark, d, form), form).withColumn("id", F.col("id").cast("long"))
+    before = _graph(spark, d).select("id", F.col("node").alias("was"), F.col("neighbors").alias("links"))
+    same = (F.col("node") == F.col("was")) & (F.col("neighbors") == F.col("links"))
+    return rows.join(before, "id").select("id", F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"), "level", same.alias("same_links"))
 
 
-_STORED = "SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS vector FROM embeddings"
+_STORED = f"WITH {LEVELS} SELECT vec_id AS id, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 6)) AS vector, level, true AS same_links FROM embeddings JOIN lv ON lv.id = vec_id"
 
 
 @query(_STORED)
@@ -615,6 +805,40 @@ def snapshot_binary_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _roundtrip(spark, d, "binary")
 
 
+_HEADER = f"WITH {LEVELS} SELECT 16 AS m, 32 AS m0, 64 AS ef_construction, 48 AS ef_search, 'cosine' AS metric, 'f32' AS quantization, CAST(count(*) AS BIGINT) AS nodes, CAST(count(*) AS BIGINT) AS chunks, true AS entered FROM lv"
+
+
+def _headers(spark: SparkSession, d: str, form: str) -> DataFrame:
+    """The parameters of the files, what they hold in all, and whether each is entered at a node of its top level."""
+    files = _files(spark, d, form)
+    heads = snapshot.read_headers(files, form)
+    tops = snapshot.read_snapshots(files, form).groupBy().agg(F.max("level").alias("top"))
+    rows = heads.groupBy("m", "m0", "ef_construction", "ef_search", "metric", "quantization").agg(F.sum("nodes").alias("nodes"), F.sum("chunks").alias("chunks"), F.max("max_level").alias("most"), F.bool_and(F.col("entry") >= 0).alias("in"))
+    return rows.crossJoin(F.broadcast(tops)).select("m", "m0", "ef_construction", "ef_search", "metric", "quantization", "nodes", "chunks", ((F.col("most") == F.col("top")) & F.col("in")).alias("entered"))
+
+
+@query(_HEADER)
+def snapshot_json_header(spark: SparkSession, d: str) -> DataFrame:
+    return _headers(spark, d, "json")
+
+
+@query(_HEADER)
+def snapshot_binary_header(spark: SparkSession, d: str) -> DataFrame:
+    return _headers(spark, d, "binary")
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, 'document-' || (vec_id % 9) AS document_name, 1 AS chunk_index, 1 AS total_chunks, 'text of ' || vec_id AS text, 0 AS start_char, CAST(len('text of ' || vec_id) AS INT) AS end_char, 2 AS token_count_estimate FROM embeddings")
+def snapshot_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return snapshot.read_chunks(_files(spark, d, "binary"))
+
+
+@query("SELECT vec_id AS id, len(embedding) AS n, CAST('[' AS VARCHAR) AS opens FROM embeddings")
+def vector_json(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as JSON arrays, read back: their length, and how the text begins."""
+    rows = snapshot.vector_json(table(spark, d, "embeddings"))
+    return rows.select("id", F.size(F.from_json("json", "array<double>")).cast("long").alias("n"), F.substring("json", 1, 1).alias("opens"))
+
+
 @query("SELECT conv_id AS stream, string_agg(text, '' ORDER BY turn) AS text, count(*) AS tokens FROM conversations WHERE turn % 4 <> 3 GROUP BY conv_id")
 def ndjson_stream_concat(spark: SparkSession, d: str) -> DataFrame:
     line = F.when(F.col("turn") % 4 == 3, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("text").alias("response"))))

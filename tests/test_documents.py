@@ -107,8 +107,10 @@ def test_tsne(spark):
     assert ((y >= 0.04) & (y <= 0.96)).all()
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     assert project.tsne_points(rows).count() == 6
-    with pytest.raises(ValueError):
-        project.tsne_points(rows, most=3)
+    # blocks of rows give what the whole matrix gives
+    wide = np.random.default_rng(2).normal(size=(70, 8))
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    assert np.allclose(project.tsne(wide, iterations=12, block=9), project.tsne(wide, iterations=12), atol=1e-9)
 
 
 def test_selection(spark):
@@ -203,6 +205,54 @@ def test_collection_end_to_end(spark, tmp_path):
         box.search("x", "other")
 
 
+def test_collection_scope_snapshot_and_rehydration(spark, tmp_path):
+    box = Collection(spark, str(tmp_path / "c"), dim=16, size=120, overlap=20)
+    assert box.rehydrate() is None
+    box.add(spark.createDataFrame([("a", "Topics hold events."), ("a-chunk-x", "Events hold topics.")], "name string, text string"))
+    # a document's name that begins another one's chunk ids is not in its scope
+    assert {r.document_name for r in box.search("events", "sparse", document="a").collect()} == {"a"}
+    saved = box.index()
+    assert saved.terms is not None and saved.postings.where("term = 'events'").count() == 2
+    graph, index = box.rehydrate()
+    assert graph.count() == 2 and index.search("topics").count() == 2
+    assert tuple(box.sizes(graph.select("id").limit(0)).first()) == (2, 2)
+    names = box.graph_ids().withColumnRenamed("id", "chunk")
+    ids = names.join(graph, names.node_id == graph.id)
+    nodes = ids.select("shard", "node", F.col("chunk").alias("id"), "level", "vector", "neighbors")
+    chunks = box.chunks.join(nodes.select("id", "shard"), "id")
+    kept = snapshot.snapshot_rows(nodes, chunks).cache()
+    kept.count()
+    other = Collection(spark, str(tmp_path / "d"), dim=16)
+    other.add(spark.createDataFrame([("gone", "This goes.")], "name string, text string"))
+    other.import_snapshot(kept)
+    assert {r.document_name for r in other.names().collect()} == {"a", "a-chunk-x"} and other.store.read("documents").count() == 2
+    assert other.search("events", "hybrid").count() == 2 and other.search("goes", "sparse").count() == 0
+    head = snapshot.read_headers(kept).first()
+    assert (head.m, head.m0, head.metric, head.nodes, head.chunks, head.max_level) == (16, 32, "cosine", 2, 2, graph.agg(F.max("level")).first()[0])
+    other.clear()
+    assert other.rehydrate() is None
+
+
+def test_samples_and_progress(spark):
+    rows = files.samples(spark).collect()
+    assert len(rows) == 3 and all(r.text.startswith("#") and r.size_bytes == len(r.text.encode()) for r in rows)
+    some = spark.createDataFrame([("x",)] * 12 + [("y",)] * 3 + [("z",)] * 5, "batch string")
+    got = sorted(tuple(r) for r in ingest.progress_events(some).collect())
+    assert got == [("x", 5, 12, 42), ("x", 10, 12, 83), ("x", 12, 12, 100), ("y", 3, 3, 100), ("z", 5, 5, 100)]
+
+
+def test_model_embeddings_fall_back(spark):
+    from skarn.functions import embed
+
+    def model(text):
+        raise RuntimeError("no model")
+
+    rows = spark.createDataFrame([("some text",)], "t string")
+    assert np.allclose(rows.select(embed.embedder(model, 8)(F.col("t"))).first()[0], embed.hash_embedding("some text", 8))
+    with pytest.raises(Exception):
+        rows.select(embed.embedder(model, 8, fallback=False)(F.col("t"))).collect()
+
+
 def test_streams(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()

@@ -148,5 +148,5 @@ def test_graph_queries_search_the_whole_table_in_blocks(spark, tmp_path):
     found = queries.hnsw_search(spark, str(tmp_path))
     assert {(a.qid, a.id) for a in found.where("rank = 1").collect()} == {(i, i) for i in range(0, 400, 50)}
     assert ann.recall(found, exact, 10).first().recall >= 95
-    blocks = ann.search_graph(ann.build_graph(vectors), asked, 10, ef=64, most_queries=3)
+    blocks = queries._found(ann.search_graph(ann.build_graph(vectors), asked, 10, ef=queries.EF, most_queries=3))
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, found.collect()))
