@@ -98,6 +98,14 @@ class Collection:
     def stats(self) -> DataFrame:
         return metrics.memory_footprint(self.vectors, "vector")
 
+    def vector(self, chunk_id: str, tombstones: DataFrame | None = None) -> list[float] | None:
+        """The vector of one chunk; None where there is none, or it is deleted."""
+        row = self.vectors.where(F.col("id") == chunk_id)
+        if tombstones is not None:
+            row = row.join(tombstones.select(F.col(tombstones.columns[0]).alias("id")), "id", "left_anti")
+        found = row.first()
+        return None if found is None else list(found.vector)
+
     def sizes(self, tombstones: DataFrame | None = None) -> DataFrame:
         """One row: size, all vectors, and active_size, those not deleted."""
         return ann.sizes(self.vectors, tombstones)

@@ -642,6 +642,14 @@ def pca_mean(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, x) for k, x in enumerate(model.mean)], "place int, mean double").withColumn("mean", F.round("mean", 6))
 
 
+_POINTS = "SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings"
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    e = vector.doubles(F.col("embedding"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (e[0] * 100).alias("x"), (e[1] * 100).alias("y"), e[2].alias("z"))
+
+
 def _power_sql(name: str, start: str, before: list[str]) -> str:
     """Fifteen steps of power iteration, as x and its direction, on the scatter without the directions before."""
 
@@ -682,17 +690,29 @@ def pca_project3d(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(project.project_3d(vectors, project.fit_pca(vectors)), "xyz")
 
 
-@query()
-def tsne_points(spark: SparkSession, d: str) -> DataFrame:
-    return project.tsne_points(table(spark, d, "embeddings"))
+@query(f"WITH RECURSIVE {PCA} SELECT vec_id AS id, round(a, 4) AS x, round(b, 4) AS y, {{0}} AS document_name FROM sh JOIN embeddings USING (vec_id)".format("CASE WHEN vec_id % 2 = 0 AND vec_id % 5 <> 0 THEN 'label-' || label ELSE 'unknown' END"))
+def canvas_points(spark: SparkSession, d: str) -> DataFrame:
+    """The plane of the canvas: every vector placed, with the name of its document."""
+    _, plane, _ = project.canvas(table(spark, d, "embeddings"), _named(spark, d))
+    return plane.select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "document_name")
 
 
-_POINTS = "SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings"
+@query(f"WITH RECURSIVE {PCA} SELECT round(a, 4) AS x, round(b, 4) AS y FROM sh WHERE vec_id = {QUERY_ID}")
+def query_place(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    return project.query_place(asked(spark, d), project.fit_pca(vectors)).select(F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-def _points(spark: SparkSession, d: str) -> DataFrame:
-    e = vector.doubles(F.col("embedding"))
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (e[0] * 100).alias("x"), (e[1] * 100).alias("y"), e[2].alias("z"))
+@query(f"WITH near AS ({knn_sql(COSINE, CLAMPED_DOT, k=3)}), p AS ({_POINTS}) SELECT round(sum(x * greatest(0.01, score)) / sum(greatest(0.01, score)), 4) AS x, round(sum(y * greatest(0.01, score)) / sum(greatest(0.01, score)), 4) AS y FROM p JOIN near USING (id)")
+def query_place_by_results(spark: SparkSession, d: str) -> DataFrame:
+    """Among placed points, by the three best results."""
+    results = knn.knn(table(spark, d, "embeddings"), asked(spark, d), round_to=6)
+    return project.query_place(asked(spark, d), None, results, _points(spark, d)).select(F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query()
+def tsne_points(spark: SparkSession, d: str) -> DataFrame:
+    return project.tsne_points(table(spark, d, "embeddings"))
 
 
 @query(f"SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM ({_POINTS}) WHERE x BETWEEN -5 AND 5 AND y BETWEEN -8 AND 8")

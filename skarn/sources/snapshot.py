@@ -135,6 +135,13 @@ def snapshot_rows(nodes: DataFrame, chunks: DataFrame | None = None, form: str =
     return nodes.groupBy("shard").cogroup(chunks.groupBy("shard")).applyInPandas(write, "shard int, content binary")
 
 
+def export(nodes: DataFrame, chunks: DataFrame | None = None, form: str = "binary", **params) -> DataFrame:
+    """``snapshot_rows`` of an index that holds something; an empty one is an error."""
+    if nodes.isEmpty():
+        raise ValueError("the index is empty: there is nothing to export")
+    return snapshot_rows(nodes, chunks, form, **params)
+
+
 def _opened(data: bytes, form: str, signature: str = JSON_TYPE) -> Snapshot:
     return from_binary(bytes(data)) if form == "binary" else from_json(bytes(data).decode(), signature)
 

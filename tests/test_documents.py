@@ -211,6 +211,8 @@ def test_collection_scope_snapshot_and_rehydration(spark, tmp_path):
     box.add(spark.createDataFrame([("a", "Topics hold events."), ("a-chunk-x", "Events hold topics.")], "name string, text string"))
     # a document's name that begins another one's chunk ids is not in its scope
     assert {r.document_name for r in box.search("events", "sparse", document="a").collect()} == {"a"}
+    assert len(box.vector("a-chunk-1")) == 16 and box.vector("b-chunk-1") is None
+    assert box.vector("a-chunk-1", spark.createDataFrame([("a-chunk-1",)], "id string")) is None
     saved = box.index()
     assert saved.terms is not None and saved.postings.where("term = 'events'").count() == 2
     graph, index = box.rehydrate()
@@ -233,6 +235,22 @@ def test_collection_scope_snapshot_and_rehydration(spark, tmp_path):
     assert other.rehydrate() is None
 
 
+def test_canvas_and_export_of_little(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.6, 0.8])], "vec_id long, embedding array<float>")
+    chunks = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "id long, document_name string")
+    model, plane, space = project.canvas(vectors, chunks)
+    assert {r.id: r.document_name for r in plane.collect()} == {1: "a", 2: "unknown", 3: "unknown"} and space.columns[:4] == ["id", "x", "y", "z"]
+    assert project.query_place(vectors.where("vec_id = 1"), model).first() == plane.where("id = 1").select("x", "y").first()
+    none, plane, space = project.canvas(vectors.limit(1), chunks)
+    assert none is None and plane.count() == space.count() == 0 and project.query_place(vectors, None).count() == 0
+    assert project.canvas(vectors, chunks, "tsne")[1].count() == 3
+    with pytest.raises(ValueError):
+        project.canvas(vectors, chunks, "other")
+    with pytest.raises(ValueError):
+        snapshot.export(ann.build_graph(vectors.limit(0)))
+    assert snapshot.export(ann.build_graph(vectors)).count() == 1
+
+
 def test_samples_and_progress(spark):
     rows = files.samples(spark).collect()
     assert len(rows) == 3 and all(r.text.startswith("#") and r.size_bytes == len(r.text.encode()) for r in rows)
