@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,24 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_an_id_with_very_many_links_is_split(spark):
+    """A star: the join that moves its links is divided among tasks, as no aggregate stands between it and its exchange."""
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        star = components.written(spark.range(1, 400_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b")), "star")
+        moved = components._large_star(star)
+        assert moved.count() == 400_000
+        moved.write.format("noop").mode("overwrite").save()
+        rows = moved.collect()
+        assert len(rows) == 400_000 and "skew=true" in moved._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_near_duplicates(spark, docs, texts):
     sets = {}
     for i, t in enumerate(texts):
@@ -187,8 +206,6 @@ def test_decontamination(spark, docs, texts):
 
 
 def test_windows_in_bounded_memory():
-    import pyarrow as pa
-
     from skarn.llm.kernel import column_bytes
 
     r = random.Random(3)
@@ -294,6 +311,22 @@ def test_quality(spark):
     assert np.mean([got[i].kept for i in range(1, 300, 2)]) > 0.97 and not any(got[i].kept for i in range(301, 340, 2))
     kept = quality.quality_filter(docs, model)
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i in got if got[i].kept}
+    # the verdict from path lengths found by walking each tree
+    base, features = quality.statistics(pa.array(texts))
+    forest = model.forest
+    for i in range(0, len(texts), 7):
+        lengths = []
+        for tree in range(len(forest.feature)):
+            node = 1
+            while np.isfinite(forest.value[tree, node]):
+                node = 2 * node + int(features[i, forest.feature[tree, node]] > forest.value[tree, node])
+            lengths.append(forest.leaf[tree, node])
+        score = 2.0 ** (-np.mean(lengths) / forest.scale)
+        assert got[i].kept == (not got[i].base_failed and score <= model.threshold)
+    # a key that documents have twice is one labelled row, and ties stay
+    twice = quality.fit_quality(docs.union(docs), labels)
+    assert np.array_equal(twice.forest.value, forest.value) and twice.threshold == model.threshold
+    assert quality.QualityModel(forest, float(forest.scores(features)[0])).kept(base, features)[0]
     none = quality.fit_quality(docs, labels.limit(0))
     assert quality.quality_report(docs, none).where("kept = base_failed").count() == 0
     assert quality.quality_report(docs.limit(0), model).count() == 0
