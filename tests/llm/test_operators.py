@@ -558,3 +558,29 @@ def test_warc(spark):
     assert len(ids) == len(set(ids)) == 16 and all(warc.key_of(warc.record_id(k, 77)) == k for k in (None, 0, -1, 2**63 - 1, -(2**63)))
     assert warc.fetch(one.path, 9).partition(b"\r\n\r\n")[2].decode() == "é" * 3000 and warc.fetch(one.path, 12345) is None
     assert warc.warc(pages.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts of a million words or characters and more beside short ones, whole."""
+    r, words_of = random.Random(11), vocabulary(7, 4000)
+    long = [r.choice(words_of) for _ in range(300_000)]
+    other = list(long)
+    for k in range(0, 300_000, 100):
+        other[k] = "edited"
+    texts = [" ".join(long), " ".join(other), "short text of six words here", None]
+    docs = frame(spark, texts)
+    got = {x.doc_id: (x.component_id, x.kept) for x in near_dup.near_duplicates(docs).collect()}
+    assert got == {0: (0, True), 1: (0, False), 2: (2, True), 3: (3, True)}
+    items = spark.createDataFrame([(1, " ".join(long[299_900:299_915])), (2, "nothing of this")], "item_id long, text string")
+    hits = {x.doc_id: (x.n_words, x.n_hit, x.n_items) for x in decontaminate.contamination_report(docs, items).collect()}
+    assert hits[0] == (300_000, 15, 1) and hits[2] == (6, 0, 0) and hits[1][2] == 1
+    pages = spark.createDataFrame([(1, "http://a", f"<p>{texts[0]}</p>"), (2, "http://b", f"<p>{texts[0]}</p>"), (3, None, "")], "page_id long, url string, html string")
+    found = {x.page_id: (x.payload_bytes, x.record_type) for x in warc.warc(pages).collect()}
+    size = len(texts[0]) + 7
+    assert found == {1: (size, "revisit"), 2: (size, "response"), 3: (0, "response")}
+    assert {x.page_id: x.n_chars for x in html.extract_pages(pages).collect()} == {1: len(texts[0]), 2: len(texts[0]), 3: 0}
+    judged = {x.doc_id: x for x in quality.quality_report(docs, quality.QualityModel(None, 1.0)).collect()}
+    assert judged[0].n_words == 300_000 and judged[3].base_failed and judged[2].n_words == 6
+    path = public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.pack(docs, path).collect()
+    assert {x.doc_id for x in packed} == {0, 1, 2, 3} and sum(x.length for x in packed if x.doc_id == 0) > 300_000
