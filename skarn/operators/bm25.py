@@ -9,7 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, words_apart
+from ..functions.text import STOPWORDS, tokens
+from ..sources.scratch import remove, spread
 
 _STOP = frozenset(STOPWORDS)
 
@@ -34,23 +35,35 @@ class BM25Index:
 
     @staticmethod
     def build(docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> BM25Index:
-        """The words are counted, and stop words left out, after they are rows: in generated code, not in a lambda."""
-        # the id goes with its row, not with its value, as rows may share an id
-        rows = docs.select(F.col(key).alias("id"), words_apart(F.col(text)).alias("words"))
-        fine = (F.length("term") > 1) & ~F.col("term").isin(STOPWORDS)
-        length = F.size(F.filter("words", lambda w: (F.length(w) > 1) & ~w.isin(STOPWORDS)))
-        rows = rows.select("id", "words", length.alias("dl"))
-        postings = rows.select("id", "dl", F.explode("words").alias("term")).where(fine).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        return BM25Index(postings, rows.select("id", "dl"), k1, b)
+        return BM25Index._of(docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("words")), k1, b)
+
+    @staticmethod
+    def _of(rows: DataFrame, k1: float, b: float) -> BM25Index:
+        """From (id, words). The length goes with its row, not with its id, as rows may share an id."""
+        postings = rows.select("id", F.size("words").alias("dl"), F.explode("words").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        return BM25Index(postings, rows.select("id", F.size("words").alias("dl")), k1, b)
+
+    @staticmethod
+    def create(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> BM25Index:
+        """An index of documents, saved: they are cut into words once, and these are written for as long as it takes."""
+        spark = docs.sparkSession
+        rows = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("t")))
+        rows.select("id", tokens(F.col("t")).alias("words")).write.parquet(f"{path}/words")
+        made = BM25Index._of(spark.read.parquet(f"{path}/words"), k1, b).save(path)
+        remove(spark, f"{path}/words")
+        return made
 
     def save(self, path: str) -> BM25Index:
         """Writes the index and returns it as read from there: postings and document frequencies sorted by term, so that a
-        search reads the row groups of its terms alone."""
+        search reads the row groups of its terms alone. Postings are written before they are sorted, as the ranges of
+        terms are found by a pass of their own."""
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+        self.postings.select("term", "id", "tf", "dl").write.parquet(f"{path}/counted")
+        counted = spark.read.parquet(f"{path}/counted")
+        counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option("parquet.block.size", 4 << 20).parquet(f"{path}/postings")
+        counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        remove(spark, f"{path}/counted")
         self.lengths.write.parquet(f"{path}/lengths")
-        saved = spark.read.parquet(f"{path}/postings")
-        saved.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms")
         spark.read.parquet(f"{path}/lengths").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_dl")).write.parquet(f"{path}/totals")
         spark.createDataFrame([(self.k1, self.b)], "k1 double, b double").write.parquet(f"{path}/constants")
         return BM25Index.load(spark, path)
@@ -110,7 +123,7 @@ class BM25Index:
         """(qid, id, score, rank) of the best k of each query. Up to ``broadcast_terms`` query terms, counted first, are
         broadcast, so that the postings of a frequent term stay where they are; more are joined by term, and as nothing
         is grouped between the postings' exchange and the join, Spark can split a frequent term."""
-        words = queries.select(F.col(query_key).alias("qid"), F.explode(words_apart(F.col(text))).alias("term")).where((F.length("term") > 1) & ~F.col("term").isin(STOPWORDS))
+        words = queries.select(F.col(query_key).alias("qid"), F.explode(tokens(F.col(text))).alias("term"))
         asked = words.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
         asked = asked.join(self.document_frequency(), "term")
         few = asked.limit(broadcast_terms + 1).count() <= broadcast_terms

@@ -69,7 +69,7 @@ class Collection:
             return bm25.BM25Index.build(self.chunks, "id", "text")
         path = f"{self.store.path}/lexical/{version}"
         if not self.store.exists(f"{path}/constants/_SUCCESS"):
-            return bm25.BM25Index.build(self.chunks, "id", "text").save(path)
+            return bm25.BM25Index.create(self.chunks, path, "id", "text")
         return bm25.BM25Index.load(self.spark, path)
 
     def sparse(self, query: str, k: int = 5, document: str | None = None) -> DataFrame:

@@ -330,7 +330,7 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
 
 def _index(spark: SparkSession, d: str) -> bm25.BM25Index:
     """The lexical index of the documents, built once and saved."""
-    return kept(spark, d, "documents", "lexical", lambda: bm25.BM25Index.build(table(spark, d, "documents")).save(scratch.new_path(spark, "lexical")))
+    return kept(spark, d, "documents", "lexical", lambda: bm25.BM25Index.create(table(spark, d, "documents"), scratch.new_path(spark, "lexical")))
 
 
 @query(f"WITH {TOK}, {POST} SELECT * FROM post")
@@ -410,7 +410,7 @@ EMBEDDED = """ew AS (SELECT id, i, w[i] AS word, w[i - 1] AS before FROM (SELECT
 
 
 def _embedded(docs: DataFrame, key: str) -> DataFrame:
-    return docs.select(F.col(key).alias("id"), embedder(dim=64, kind="double")(F.col("text")).alias("v"))
+    return scratch.spread(docs.select(F.col(key).alias("id"), "text")).select("id", embedder(dim=64, kind="double")(F.col("text")).alias("v"))
 
 
 @query(f"WITH {EMBEDDED.format(id='doc_id', text='text', docs='documents')} SELECT id, p AS place, round(x, 6) AS value FROM en WHERE x <> 0")
@@ -463,7 +463,7 @@ CHUNKS = f"""c0 AS (SELECT doc_id, [coalesce(text, '')] AS p FROM documents), c1
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunk.chunk_text(table(spark, d, "documents"))
+    return chunk.chunk_text(scratch.spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 @query(f"WITH {CHUNKS} SELECT document_name || '-chunk-' || chunk_index AS id, * FROM chunk")
