@@ -104,7 +104,8 @@ def test_records(key):
 @settings(max_examples=30, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=30))
 def test_packing_plan(counts):
-    plan = packing.packing_plan(counts, 64, groups=6)
+    plan = packing.packing_plan(counts, 64, ((6, 1 / 4), (0, 1.0)))
+    assert sum(c for _, c in plan) >= packing.lower_bound(counts, 64)
     got: dict[int, int] = {}
     for pattern, count in plan:
         assert sum(pattern) <= 64 and count > 0
@@ -150,18 +151,29 @@ def test_edit_distance():
         a = "".join(r.choice("abc") for _ in range(r.randint(0, 90)))
         b = "".join(c if r.random() > 0.05 else r.choice(["", "d", c + "a"]) for c in a)
         d = plain(a, b)
-        assert all(line_dedup.within(a, b, x) == (d <= x) for x in {0, max(0, d - 1), d, d + 1})
+        assert all((line_dedup.distance(a, b, x) <= x) == (d <= x) for x in {0, max(0, d - 1), d, d + 1})
+        assert line_dedup.distances(a, [b, a, "", b[::-1]]).tolist()[:3] == [d, 0, len(a)] and line_dedup._by_anchors(a, b, 999, 8) >= d
 
 
 def test_simhash():
     data, offsets = kernel.column_bytes(pa.array(["Hello world, foo 12\n\nbar baz qux\n" + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)), "", "x"]))
     found = line_dedup.Lines(data, offsets)
     assert [found.normal(k)[:20] for k in range(4)] == ["hello world foo 00", "bar baz qux", "waa wba wca wda wea ", "x"]
-    got = line_dedup.simhashes(found.hashed, found.low, found.size)
-    for k, (low, size) in enumerate(zip(found.low, found.size, strict=True)):
-        h = found.hashed[low : low + size]
-        features = [int(x) for x in h] + [int(x) for x in kernel.mix(h[:-1] + np.uint64(0xA0761D6478BD642F) * h[1:])]
-        assert int(got[k]) == sum(1 << b for b in range(64) if 2 * sum(f >> b & 1 for f in features) > len(features))
+    which, rows = found.pairs()
+    assert which.tolist() == [2] and found.grams()[0].tolist() == [0, 1, 3]
+    low, size = int(found.low[2]), int(found.size[2])
+    h = found.hashed[low : low + size]
+    features = kernel.mix(h[:-1] + np.uint64(0xA0761D6478BD642F) * h[1:])[:40]
+    doubled = np.arange(40) % 4
+    got = line_dedup.simhashes(features, np.array([0]), np.array([40]), np.array([7]), doubled)[0]
+    assert got[48:].tolist() == [7, 0, 0, 0] and rows.shape == (1, 52)
+    # the sign of each bit's sum over all features, whose weights double from rank to rank
+    for k in range(line_dedup.WORDS):
+        order = [((int(f) >> 32 ^ int(line_dedup._SEED[k])) * int(line_dedup._FACTOR[k]) % 2**32) >> int(d) for f, d in zip(features, doubled)]
+        weights = {v: 2 ** (40 - rank) for rank, v in enumerate(sorted(order))}
+        bits = {v: int(kernel.mix(np.array([v + (k << 32)], np.uint64))[0]) for v in order}
+        word = sum(1 << b for b in range(16) if sum(weights[v] * (1 if bits[v] >> b & 1 else -1) for v in order) > 0)
+        assert int(got[k]) + (int(got[line_dedup.WORDS + k]) << 8) == word
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><div class="site-header">Site</div>
@@ -173,8 +185,8 @@ graph.<p>Second<br>line &eacute; <a href="q">link</a><div class="ad">Buy</div><t
 def test_main_text():
     want = "Title & more\n\nFirst para graph.\n\nSecond line é link\n\none\n\ntwo\n\nopen\n\nLast"
     assert html.extract(PAGE) == want
-    assert html.extract(PAGE, "/html/body/main.hassidebar/article.post") == want
-    assert html.extract(PAGE, "/html/body/absent") == want
+    assert html.extract(PAGE, html.path_of("html", "body", "main.hassidebar", "article.post")) == want
+    assert html.extract(PAGE, html.path_of("html", "body", "absent")) == want
     assert html.extract("") == "" and html.extract("<p") == "<p" and html.extract("just text") == "just text"
     assert html.extract("<div>" * 3000 + "deep") == "deep"
-    assert html.best({}) is None
+    assert html.container(html.parse("")) is None
