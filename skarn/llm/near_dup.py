@@ -126,8 +126,8 @@ def run_edges(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np
 
 
 def parts_of(size: Column, task: int) -> Column:
-    """Blocks of a group: one up to ``task`` rows, then up to 8, and beyond that blocks of at most 64 times as many."""
-    return F.greatest(F.least(F.ceil(size / task), F.lit(8)), F.ceil(size / (64 * task))).cast("int")
+    """Blocks of a group: one up to ``task`` rows, then up to 16, and beyond that blocks of at most 64 times as many."""
+    return F.greatest(F.least(F.ceil(size / task), F.lit(16)), F.ceil(size / (64 * task))).cast("int")
 
 
 def forest(n: int, near) -> list[tuple[int, int]]:
