@@ -12,8 +12,8 @@ match may lack. A document or window without any of these words holds no match.
 Nulls: null texts hold nothing; templates without a word or an id are not used. Templates shorter than a shingle are one
 shingle of all their words. Repeated documents each give their rows (a row per id and template); an empty table or no
 templates give no rows. Texts of any length are read whole; of windows that match equally well the result is the same.
-The template table is collected to make the sieve, so it has a checked bound, ``most``, and so has the number of words
-in the sieve; more raise an error instead of growing a broadcast or a plan: scan with a part of the templates each.
+Templates are collected to make the sieve, about ``most`` in a pass, counted first; more go in further passes over the
+documents, so that neither a broadcast nor a plan grows with their number.
 """
 
 from __future__ import annotations
@@ -146,30 +146,43 @@ def sieve_by(templates: list[list[str]], containment: float) -> list[set[str]]:
     return [out[k] for k in range(len(templates))]
 
 
-def license_scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str = "text", template: str = "template_id", template_text: str = "text", containment: float = 0.75, miss: float = 1e-5, most: int = 1_000, most_words: int = 2_000) -> DataFrame:
+def license_scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", text: str = "text", template: str = "template_id", template_text: str = "text", containment: float = 0.75, miss: float = 1e-5, most: int = 200) -> DataFrame:
     """(doc_id, template_id, n_shared, n_shingles, containment) of each template that a window of the document holds:
     the most shingles shared in one window, those of the template, and their ratio."""
     result = "doc_id long, template_id string, n_shared int, n_shingles int, containment double"
     spark = docs.sparkSession
     known = templates.select(F.col(quoted(template)).cast("string").alias("template_id"), words_of(F.col(quoted(template_text))).alias("w")).where("template_id is not null and size(w) > 0")
     known = known.withColumn("k", F.least(F.size("w"), F.lit(SHINGLE))).withColumn("shingles", shingles_of(F.col("w"), F.col("k")))
-    rows = known.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} templates; scan in parts")
-    if not rows:
+    if most < 1:
+        raise ValueError("a pass takes a template at least")
+    count = known.count()
+    # windows follow from the lengths of all templates, so that the result does not depend on the passes
+    top = classes({r.n: 1 for r in known.select(F.size("w").alias("n")).distinct().collect()})
+    parts = 1 if count <= most else math.ceil(1.5 * count / most)
+    found = None
+    for part in range(parts if count else 0):
+        rows = (known if parts == 1 else known.where(F.pmod(F.xxhash64("template_id", "shingles"), F.lit(parts)) == part)).collect()
+        if rows:
+            some = _matches(docs, rows, top, key, text, containment, miss)
+            found = some if found is None else found.union(some)
+    if found is None:
         return spark.createDataFrame([], result)
+    best = found.groupBy("doc_id", "template_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
+    return best.select("doc_id", "template_id", "n_shared", "n_shingles", F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("containment"))
+
+
+def _matches(docs: DataFrame, rows: list, top: dict[int, int], key: str, text: str, containment: float, miss: float) -> DataFrame:
+    """(doc_id, template_id, n_shared, n_shingles) of the windows that hold one of these templates."""
+    spark = docs.sparkSession
     sieves = sieve_by([r.shingles for r in rows], containment)
     keys = sorted(set().union(*sieves))
-    if len(keys) > most_words:
-        raise ValueError(f"{len(keys)} words to look for, more than {most_words}; scan in parts")
-    top = classes({len(r.w): 1 for r in rows})
 
     low = F.lower(F.col(quoted(text)).cast("string"))
     # the lambda's variable is the lower-case text, made once for all words
     sieve = F.exists(F.array(low), lambda t: functools.reduce(operator.or_, (F.contains(t, F.lit(k)) for k in keys)))
     near = written(docs.where(sieve).select(F.col(quoted(key)).cast("long").alias("doc_id"), words_of(F.col(quoted(text))).alias("w")), "sieved")
     found = None
-    for size in sorted(set(top.values())):
+    for size in sorted({top[len(r.w)] for r in rows}):
         own = [r for r in rows if top[len(r.w)] == size]
         words = F.array(*map(F.lit, sorted(set().union(*(s for r, s in zip(rows, sieves, strict=True) if top[len(r.w)] == size)))))
         k, step = own[0].k, max(1, size // 4)
@@ -182,10 +195,9 @@ def license_scan(docs: DataFrame, templates: DataFrame, key: str = "doc_id", tex
         windows = windows.withColumn("bands", bands_of(F.col("seen"), bands))
         mine = spark.createDataFrame([(r.template_id, r.shingles) for r in own], "template_id string, shingles array<string>")
         index = mine.select("template_id", "shingles", F.posexplode(bands_of(F.col("shingles"), bands)).alias("band", "value"))
-        # a template and its bands are a few values each, and there are at most ``most`` of them
+        # a template and its bands are a few values each, and there are about ``most`` of them
         met = windows.select("doc_id", "seen", F.posexplode("bands").alias("band", "value")).join(F.broadcast(index), ["band", "value"])
         shared = met.select("doc_id", "template_id", F.size(F.array_intersect("seen", "shingles")).alias("n_shared"), F.size("shingles").alias("n_shingles"))
         part = shared.where(F.col("n_shared") >= F.lit(containment) * F.col("n_shingles"))
         found = part if found is None else found.union(part)
-    best = found.groupBy("doc_id", "template_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
-    return best.select("doc_id", "template_id", "n_shared", "n_shingles", F.round(F.col("n_shared") / F.col("n_shingles"), 6).alias("containment"))
+    return found

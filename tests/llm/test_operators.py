@@ -462,6 +462,9 @@ def test_licenses(spark):
     assert licenses.license_scan(rows, short.limit(0)).count() == 0 and licenses.license_scan(rows.limit(0), short).count() == 0
     with pytest.raises(ValueError):
         licenses.license_scan(rows, short, most=0)
+    # several passes give what one gives
+    whole = {tuple(r) for r in licenses.license_scan(docs, licenses.default_templates(spark)).collect()}
+    assert {tuple(r) for r in licenses.license_scan(docs, licenses.default_templates(spark), most=9).collect()} == whole
     assert licenses.band_count(10, 14, 0.75, 1e-5) >= 12
 
 
