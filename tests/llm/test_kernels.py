@@ -153,6 +153,10 @@ def test_edit_distance():
         d = plain(a, b)
         assert all((line_dedup.distance(a, b, x) <= x) == (d <= x) for x in {0, max(0, d - 1), d, d + 1})
         assert line_dedup.distances(a, [b, a, "", b[::-1]]).tolist()[:3] == [d, 0, len(a)] and line_dedup._by_anchors(a, b, 999, 8) >= d
+        some = [b, a[::-1], "d" * len(a), b + "dd"]
+        limits = np.array([int(0.15 * max(len(a), len(x))) for x in some])
+        near = (line_dedup.distances(a, some, limits, 5) <= limits).tolist()
+        assert near == (line_dedup.distances(a, some) <= limits).tolist() == [plain(a, x) <= y for x, y in zip(some, limits)]
 
 
 def test_simhash():
