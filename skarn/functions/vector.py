@@ -16,6 +16,12 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded, halves away from zero. What rounds to zero keeps its sign, as in SQL on doubles; Spark's round drops it."""
+    near = F.round(x, digits)
+    return F.when(near == 0, x * 0.0).otherwise(near)
+
+
 def dot(a: Column, b: Column) -> Column:
     return _total(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y))
 

@@ -88,3 +88,17 @@ def test_hash_embedding(spark):
     assert not hash_embedding("… !", 16).any() and not hash_embedding(None, 16).any()
     got = spark.createDataFrame([("Hello hello, world",), (None,)], "t string").select(embedder(dim=64)(F.col("t"))).collect()
     assert np.allclose(got[0][0], v) and not any(got[1][0])
+
+
+def test_what_rounds_to_zero_keeps_its_sign(spark, tmp_path):
+    """DuckDB's round gives -0.0 for a small negative number: the queries on vectors have to give it too."""
+    duckdb = pytest.importorskip("duckdb")
+    from skarn import queries
+
+    values = [[3e-7, -1e-7, 0.5, -0.5], [-4e-7, 0.0, -0.8, 0.6]]
+    spark.createDataFrame([(k, v, k) for k, v in enumerate(values)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    for name in ("vec_normalize",):
+        found = {r[0]: list(map(str, r[1])) for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert found == {r[0]: list(map(str, r[1])) for r in duckdb.sql(queries.ORACLE_SQL[name]).fetchall()}, name
+        assert "-0.0" in found[0] and "0.0" in found[1], name
