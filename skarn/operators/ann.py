@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import math
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import score
-from .knn import knn_batch
+from ..sources.scratch import written
+from .knn import distances, knn_batch
 
 NODES = "shard int, node int, id long, level int, vector array<float>, neighbors array<array<int>>"
 
@@ -58,7 +60,7 @@ class Vectors:
         q = np.asarray(q, dtype=np.float64)
         if self.config.quantization == "sq8":
             codes, scale = self._sq8(q[None])
-            return lambda at: 1 - np.clip((self.codes[at] @ codes[0]) * self.scale[at] * scale[0], -1, 1)
+            return lambda at: 1 - np.clip((self.codes[at] @ codes[0]) * scale[0] * self.scale[at], -1, 1)
         if self.config.quantization == "bq":
             bits = q > 0
             return lambda at: (self.codes[at] != bits).sum(axis=1) / len(bits)
@@ -69,6 +71,26 @@ class Vectors:
         return lambda at: np.sqrt(((self.rows[at] - q) ** 2).sum(axis=1))
 
 
+    def all(self, q: np.ndarray) -> np.ndarray:
+        """Distances from many queries (a row each) to all rows, by matrix products: exact but for the order of sums."""
+        if self.config.quantization == "sq8":
+            codes, scale = self._sq8(q)
+            return 1 - np.clip((codes @ self.codes.T) * scale[:, None] * self.scale, -1, 1)
+        if self.config.quantization == "bq":
+            bits, codes = (q > 0).astype(np.float64), self.codes.astype(np.float64)
+            return (bits.sum(axis=1)[:, None] + codes.sum(axis=1) - 2 * (bits @ codes.T)) / q.shape[1]
+        return distances(self.rows, q, self.config.metric)
+
+    def one_by_one(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Distances from a query to some rows, each sum from left to right: the same for equal rows wherever they stand,
+        which the sums of a matrix product need not be."""
+        if self.config.quantization != "f32":
+            return self.query(q)(at)
+        terms = (self.rows[at] - q) ** 2 if self.config.metric == "euclidean" else self.rows[at] * q
+        total = np.cumsum(terms, axis=1)[:, -1]
+        return 1 - np.clip(total, -1, 1) if self.config.metric == "cosine" else -total if self.config.metric == "dot" else np.sqrt(total)
+
+
 class Graph:
     """The layers of one shard: ``links[layer][node]`` is an array of nodes."""
 
@@ -143,6 +165,23 @@ class Graph:
             start = [self.beam(far, start, 1, layer)[0][1]]
         return self.beam(far, start, ef, 0)
 
+    def checked(self, queries: list[np.ndarray], found: list[list[int]], keep: np.ndarray, ids: np.ndarray, k: int, cells: int = 4_000_000) -> Iterator[list[tuple[float, int]]]:
+        """For each query the exact k nearest of the rows to ``keep``, ties to the smaller id. The farthest of the k that
+        the beam found bounds them: a matrix product over all rows tells which others are no farther."""
+        rows = np.flatnonzero(keep)
+        step = max(1, cells // max(1, len(keep)))
+        for low in range(0, len(queries), step):
+            q = np.stack(queries[low : low + step]).astype(np.float64)
+            # wider than the error of the products, as what they pass is computed again
+            slack = 1e-9 if self.config.quantization != "f32" or self.config.metric == "cosine" else 1e-6 * (1 + np.abs(self.vectors.rows).max(initial=0) ** 2 + np.abs(q).max() ** 2) * q.shape[1]
+            far = self.vectors.all(q)
+            for one, own, distance in zip(q, found[low : low + step], far, strict=True):
+                bound = np.sort(distance[own])[k - 1] + slack if len(own) >= k else np.inf
+                near = rows[distance[rows] <= bound]
+                exact = self.vectors.one_by_one(one, near)
+                order = np.lexsort((ids[near], exact))[:k]
+                yield list(zip(exact[order].tolist(), near[order].tolist(), strict=True))
+
     @staticmethod
     def restore(rows: pd.DataFrame, config: GraphConfig) -> Graph:
         rows = rows.sort_values("node")
@@ -168,19 +207,32 @@ def build_graph(vectors: DataFrame, config: GraphConfig = GraphConfig(), shard_v
     return rows.groupBy("shard").applyInPandas(build, NODES)
 
 
-def search_graph(nodes: DataFrame, queries: DataFrame, k: int = 10, config: GraphConfig = GraphConfig(), ef: int | None = None, allowed: DataFrame | None = None, tombstones: DataFrame | None = None, query_key: str = "vec_id", column: str = "embedding", most_queries: int = 20_000) -> DataFrame:
+def search_graph(nodes: DataFrame, queries: DataFrame, k: int = 10, config: GraphConfig = GraphConfig(), ef: int | None = None, allowed: DataFrame | None = None, tombstones: DataFrame | None = None, query_key: str = "vec_id", column: str = "embedding", most_queries: int = 20_000, checked: bool = False) -> DataFrame:
     """(qid, id, distance, score, rank). ``allowed`` and ``tombstones`` (ids in their first column) filter what the beam
-    found, with a beam twice as wide; deleted nodes still lead the way. Up to
+    found, with a beam twice as wide; deleted nodes still lead the way. A beam misses some of the nearest, more of them
+    in larger tables: with ``checked``, an exact check of each shard follows and adds what it missed. Up to
     ``most_queries`` queries are broadcast, counted first; more pass in blocks of about that size."""
-    asked = queries.select(F.col(query_key).cast("long").alias("q"), F.col(column).cast("array<double>").alias("v"))
+    asked = queries.select(F.col(query_key).cast("long").alias("q"), F.col(column).cast("array<double>").alias("v")).where("v is not null")
     parts = max(1, -(-asked.count() // most_queries))
     filtered = allowed is not None or tombstones is not None
     width = max(k, ef or config.ef_search) * (2 if filtered else 1)
+    nodes = nodes.withColumn("keep", F.lit(True))
+    if allowed is not None:
+        some = allowed.select(F.col(allowed.columns[0]).alias("id"), F.lit(True).alias("some")).distinct()
+        nodes = nodes.join(some, "id", "left").withColumn("keep", F.coalesce("some", F.lit(False))).drop("some")
+    if tombstones is not None:
+        dead = tombstones.select(F.col(tombstones.columns[0]).alias("id"), F.lit(True).alias("gone")).distinct()
+        nodes = nodes.join(dead, "id", "left").withColumn("keep", F.col("keep") & F.col("gone").isNull()).drop("gone")
 
     def searched(shared):
         def search(rows: pd.DataFrame) -> pd.DataFrame:
-            graph, ids = Graph.restore(rows, config), rows.sort_values("node").id.to_numpy()
-            out = [(qid, ids[n], d) for qid, q in zip(*shared.value, strict=True) for d, n in graph.search(np.asarray(q), width)[: width if filtered else k]]
+            rows = rows.sort_values("node")
+            graph, ids, keep = Graph.restore(rows, config), rows.id.to_numpy(), rows.keep.to_numpy()
+            qids, asked = shared.value[0], list(map(np.asarray, shared.value[1]))
+            found = [[(d, n) for d, n in graph.search(q, width) if keep[n]] for q in asked]
+            if checked:
+                found = graph.checked(asked, [[n for _, n in x] for x in found], keep, ids, k)
+            out = [(qid, ids[n], d) for qid, x in zip(qids, found, strict=True) for d, n in x[:k]]
             return pd.DataFrame(out, columns=["qid", "id", "distance"])
 
         return search
@@ -191,16 +243,32 @@ def search_graph(nodes: DataFrame, queries: DataFrame, k: int = 10, config: Grap
         shared = nodes.sparkSession.sparkContext.broadcast((block.q.to_numpy(), list(block.v)))
         some = nodes.groupBy("shard").applyInPandas(searched(shared), "qid long, id long, distance double")
         found = some if found is None else found.union(some)
-    if allowed is not None:
-        found = found.join(allowed.select(F.col(allowed.columns[0]).alias("id")), "id", "left_semi")
-    if tombstones is not None:
-        found = found.join(tombstones.select(F.col(tombstones.columns[0]).alias("id")), "id", "left_anti")
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))).where(F.col("rank") <= k)
     return found.select("qid", "id", "distance", score(F.col("distance"), config.metric, config.quantization).alias("score"), "rank")
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """The nodes numbered without gaps over all shards, in the order of their ids, and their links with them: within a
+    shard they have numbers of their own. Ranges of ids are counted, so that no task sorts all."""
+    ids = nodes.select("id").repartitionByRange("id").sortWithinPartitions("id")
+    placed = written(ids.select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "node-numbers")
+    counts = sorted(tuple(r) for r in placed.groupBy("part").count().collect())
+    before = [(part, sum(n for _, n in counts[:k])) for k, (part, _) in enumerate(counts)]
+    offsets = nodes.sparkSession.createDataFrame(before, "part int, before long")
+    numbers = placed.join(F.broadcast(offsets), "part").select("id", (F.col("at") + F.col("before")).cast("int").alias("number"))
+
+    def renumber(rows: pd.DataFrame) -> pd.DataFrame:
+        new = np.zeros(int(rows.node.max()) + 1, dtype=np.int32)
+        new[rows.node.to_numpy()] = rows.number.to_numpy()
+        rows["neighbors"] = [[new[np.asarray(layer, dtype=int)].tolist() for layer in layers] for layers in rows.neighbors]
+        return rows.assign(node=rows.number)[["shard", "node", "id", "level", "vector", "neighbors"]]
+
+    return nodes.join(numbers, "id").groupBy("shard").applyInPandas(renumber, NODES)
+
+
 def compact(nodes: DataFrame, tombstones: DataFrame, config: GraphConfig = GraphConfig(), **params) -> DataFrame:
-    """The graph built anew from the vectors that are not deleted; node numbers are gapless again."""
+    """The graph built anew from the vectors that are not deleted; node numbers are gapless again,
+    within each shard; ``numbered`` has them over all shards."""
     live = nodes.join(tombstones.select(F.col(tombstones.columns[0]).alias("id")), "id", "left_anti").select(F.col("id").alias("vec_id"), F.col("vector").alias("embedding"))
     return build_graph(live, config, **params)
 

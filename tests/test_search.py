@@ -150,3 +150,21 @@ def test_graph_queries_search_the_whole_table_in_blocks(spark, tmp_path):
     assert ann.recall(found, exact, 10).first().recall >= 95
     blocks = queries._found(ann.search_graph(ann.build_graph(vectors), asked, 10, ef=queries.EF, most_queries=3))
     assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_checked_search_finds_what_a_narrow_beam_misses(spark):
+    x = np.random.default_rng(5).normal(size=(900, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x[600:630] = x[0]
+    vectors = spark.createDataFrame([(k, v.tolist(), k % 10) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    asked, some, gone = vectors.where("vec_id % 50 = 0"), vectors.where("label < 5").select("vec_id"), vectors.where("vec_id % 3 = 0").select("vec_id")
+    wide = x.astype(np.float64)
+    for config, shard in ((ann.GraphConfig(), 300), (ann.GraphConfig(metric="euclidean"), 900), (ann.GraphConfig(quantization="sq8"), 900)):
+        nodes = ann.build_graph(vectors, config, shard_vectors=shard).cache()
+        at = ann.Vectors(wide, config)
+        for filters, keep in (({}, np.ones(900, bool)), ({"allowed": some, "tombstones": gone}, (np.arange(900) % 10 < 5) & (np.arange(900) % 3 > 0))):
+            found = ann.search_graph(nodes, asked, 10, config, ef=10, checked=True, **filters)
+            rows = {(r.qid, r["rank"]): r.id for r in found.collect()}
+            for q in range(0, 900, 50):
+                far = at.one_by_one(wide[q], np.flatnonzero(keep))
+                assert [rows[q, k] for k in range(1, 11)] == np.flatnonzero(keep)[np.argsort(far, kind="stable")[:10]].tolist()
