@@ -297,3 +297,28 @@ def test_tsne_query_projects_every_vector(spark, tmp_path):
     rows = [(i, i % 10, [float(i % 7), float(i % 3), 1.0]) for i in range(40)]
     spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert {r.id for r in queries.tsne_points(spark, str(tmp_path)).collect()} == set(range(40))
+
+
+def test_tsne_against_points_moved_one_by_one():
+    """Blocks, and affinities that are held or made again, give what moving each point after the one before gives."""
+    x = np.random.default_rng(3).normal(size=(150, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n, iterations, rate = len(x), 25, 100
+    p = np.exp(-np.maximum(0, 2 * (1 - np.clip(x @ x.T, -1, 1))) / 3)
+    np.fill_diagonal(p, 0)
+    p /= p.sum(axis=1, keepdims=True)
+    p = (p + p.T) / (2 * n)
+    at = np.arange(n)
+    y = 0.1 * np.fmod(np.stack([np.sin(at * 12.9898), np.cos(at * 78.233)], 1) * 43758.5453, 1)
+    old, gain = y.copy(), np.ones((n, 2))
+    for step in range(iterations):
+        near = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(axis=2))
+        np.fill_diagonal(near, 0)
+        weight = 4 * (p - near / near.sum()) * near
+        for i in range(n):
+            gradient, moved = weight[i].sum() * y[i] - weight[i] @ y, y[i] - old[i]
+            gain[i] = np.where(np.sign(gradient) != np.sign(moved), gain[i] + 0.2, np.maximum(0.01, gain[i] * 0.8))
+            old[i], y[i] = y[i], y[i] + (0.5 if step < 20 else 0.8) * moved - rate * gain[i] * gradient
+    expected = 0.05 + 0.9 * (y - y.min(0)) / (y.max(0) - y.min(0))
+    for params in ({}, {"held_cells": 0}, {"block": 40}):
+        assert np.allclose(project.tsne(x, iterations=iterations, **params), expected, atol=1e-9)
