@@ -194,3 +194,15 @@ def test_main_text():
     assert html.extract("") == "" and html.extract("<p") == "<p" and html.extract("just text") == "just text"
     assert html.extract("<div>" * 3000 + "deep") == "deep"
     assert html.container(html.parse("")) is None
+
+
+def test_letters_bound_the_edit_distance():
+    from skarn.llm.line_dedup import apart, distance, letters
+
+    rng = np.random.default_rng(8)
+    texts = ["", "a", "ä中😀", "aaaa", *("".join(rng.choice(list("abc ä中"), rng.integers(0, 30))) for _ in range(60))]
+    bags = letters(texts)
+    assert bags.sum(axis=1).tolist() == [len(t) for t in texts]
+    bound = apart(bags[:, None], bags[None])
+    assert all(bound[i, j] <= distance(a, b, 10**6) for i, a in enumerate(texts) for j, b in enumerate(texts))
+    assert apart(*letters(["aaaa", "bbbbbb"])) == 6 and apart(*letters(["abc", "cba"])) == 0
