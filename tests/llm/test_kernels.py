@@ -1,5 +1,6 @@
 """Pure functions against plain versions: hashes, encoding, packing, HTML, seekable files, records."""
 
+import collections
 import random
 import re
 
@@ -206,3 +207,74 @@ def test_letters_bound_the_edit_distance():
     bound = apart(bags[:, None], bags[None])
     assert all(bound[i, j] <= distance(a, b, 10**6) for i, a in enumerate(texts) for j, b in enumerate(texts))
     assert apart(*letters(["aaaa", "bbbbbb"])) == 6 and apart(*letters(["abc", "cba"])) == 0
+
+
+def test_many_edit_distances_at_once():
+    """As the distances one by one, with limits of up to several integers of bits."""
+    r = random.Random(4)
+    firsts, seconds, limits = [], [], []
+    for letters in ("abcdefghij kl", "aä中😀"):
+        for n in (0, 1, 5, 40, 150, 420, 430, 900, 2200):
+            for _ in range(40):
+                a = "".join(r.choice(letters) for _ in range(n))
+                i, rate = r.randrange(n + 1), r.choice([0.01, 0.1, 0.4])
+                b = "".join(c if r.random() > rate else r.choice(["", "d", c + "a"]) for c in a[:i]) + a[i:]
+                b = b[r.randint(0, n // 12) :]
+                firsts.append(a)
+                seconds.append(b)
+                limits.append(r.choice([int(0.15 * max(len(a), len(b))), 63, 64, line_dedup.distance(a, b, 10**6), max(0, line_dedup.distance(a, b, 10**6) - 1)]))
+    want = [line_dedup.distance(a, b, k) <= k for a, b, k in zip(firsts, seconds, limits)]
+    assert 200 < sum(want) < len(want) - 50
+    for rows in (1024, 60):
+        assert line_dedup.within(firsts, seconds, np.array(limits), rows).tolist() == want
+    assert line_dedup.within([], [], np.zeros(0)).tolist() == []
+
+
+def test_links_of_texts_join_what_is_similar():
+    """Chains, stars and texts alone, of few and of many: the trees that grow side by side are joined."""
+    r = random.Random(6)
+    texts = []
+    for _ in range(14):
+        base = ["".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(12)]
+        for _ in range(r.randint(1, 9)):
+            k = r.randrange(len(base))
+            base[k] = "".join(r.choice("abcdefgh") for _ in range(7))
+            texts.append(" ".join(base))
+    for some in (texts[:40], texts):
+        r.shuffle(some)
+        found = line_dedup._of_lines(some)
+        columns = [line_dedup._hash_column(len(some), *x) for x in (found.pairs(), found.grams())]
+        out = []
+        # no word of the hashes is asked for: all pairs of few texts, and those with a block in common of many
+        line_dedup.side_by_side([line_dedup._verified(some, *columns, np.zeros(len(some), int), 0.85, out)], 0.85)
+        tree = list(range(len(some)))
+        for p, q in out:
+            assert line_dedup.similar(some[p], some[q], 0.85) and tree[p] != tree[q]
+            tree = [tree[p] if x == tree[q] else x for x in tree]
+        rows = columns[0].to_pylist()
+        agree = lambda a, b: sum(x == y for x, y in zip(rows[a][: line_dedup.WORDS], rows[b][: line_dedup.WORDS]))
+        blocks = line_dedup._blocks_of(line_dedup._rows_of(columns[0])[1])
+        for p in range(len(some)):
+            for q in range(p):
+                if agree(p, q) >= line_dedup.AGREE_PAIRS and any(v[p] == v[q] for v in blocks) and line_dedup.similar(some[p], some[q], 0.85):
+                    assert tree[p] == tree[q]
+
+
+def test_keys_dealt_many_to_a_row():
+    """Rows of the buckets with several are found again, and of no others, however often a bucket comes at a time."""
+    r = np.random.default_rng(5)
+    bits = r.integers(0, 3, (400, 2 * line_dedup.WORDS + 4)).astype(np.uint8)
+    bits[100:] = r.integers(0, 256, (300, 2 * line_dedup.WORDS + 4)).astype(np.uint8)
+    bits[:60] = bits[0]
+    order = r.permutation(400)
+    column = line_dedup._hash_column(400, np.arange(400), bits[order])
+    none = line_dedup._hash_column(400, np.arange(0), bits[:0])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(400)), column, none], names=["form", "pairs", "grams"])
+    batches = [batch.slice(k, 50) for k in range(0, 400, 50)]
+    keys = pa.Table.from_batches(line_dedup._keys(iter(batches))).to_pydict()
+    times = collections.Counter(keys["bucket"])
+    want = sorted((b, f) for b, f in zip(keys["bucket"], keys["form"]) if times[b] > 1)
+    for most in (1, 700, 1 << 20):
+        dealt = pa.Table.from_batches(line_dedup._dealt(iter(batches), 7, most)).sort_by("part").combine_chunks().to_batches(max_chunksize=9)
+        got = pa.Table.from_batches(line_dedup._several(iter(dealt))).to_pydict()
+        assert sorted(zip(got["bucket"], got["form"])) == want and len(want) > 700
