@@ -278,3 +278,54 @@ def test_keys_dealt_many_to_a_row():
         dealt = pa.Table.from_batches(line_dedup._dealt(iter(batches), 7, most)).sort_by("part").combine_chunks().to_batches(max_chunksize=9)
         got = pa.Table.from_batches(line_dedup._several(iter(dealt))).to_pydict()
         assert sorted(zip(got["bucket"], got["form"])) == want and len(want) > 700
+
+
+def test_lines_are_counted_by_batch_and_brought_together():
+    """Of a batch a form has one row with its SimHashes and the number of its copies; the first of all has them in the end."""
+    texts = ["the same line\nno other is like this one", "the same line\n\n- -\nthe same line", "a line of its own\nTHE same, line"]
+    data, offsets = kernel.column_bytes(pa.array(texts))
+    batches = []
+    for ids in ([5, 3, 9], [2, 2, 7]):
+        found, parts = line_dedup.Lines(data, offsets), []
+        parts.append((np.array(ids)[found.text], found.line.astype(np.int32), found.forms().view(np.int64), found.checks().view(np.int64), *found.pairs(), *found.grams()))
+        batches.append(line_dedup._counted(parts))
+    rows = batches[0].to_pylist()
+    assert [(x["doc"], x["line"], x["copies"]) for x in rows] == [(5, 0, 0), (5, 1, 1), (3, 0, 4), (3, 3, 0), (9, 0, 1), (9, 1, 0)]
+    assert all((x["grams"] is not None) == (x["copies"] > 0) for x in rows)
+    assert pa.Table.from_batches(batches).column("pairs").null_count == 12
+    counted = [b.filter(pa.array([x > 0 for x in b.column(4).to_pylist()])) for b in batches]
+    (out,) = line_dedup._firsts(iter([*counted, counted[0].slice(0, 0)]))
+    assert sorted((x["first"]["doc"], x["first"]["line"], x["copies"]) for x in out.to_pylist()) == [(2, 0, 8), (2, 1, 2), (7, 0, 2)]
+    same = {x["form"]: x["grams"] for x in rows if x["copies"]}
+    assert all(x["first"]["grams"] == same[x["form"]] and x["first"]["pairs"] is None for x in out.to_pylist())
+    assert list(line_dedup._firsts(iter([counted[0].slice(0, 0)]))) == []
+
+
+def test_line_words_are_hashed_eight_bytes_at_a_time():
+    r = random.Random(5)
+    some = ["".join(r.choices("ab0é", k=r.choice([1, 2, 7, 8, 9, 15, 16, 17, 40, 63, 64, 65, 200]))) for _ in range(3000)]
+    text = " ".join(some)
+    data, offsets = kernel.column_bytes(pa.array([text, "", "ab", "-"]))
+    words = kernel.Words(line_dedup._NORMAL[data], offsets, kernel.ALNUM)
+    spelled = [words.text(k, k + 1) for k in range(len(words.start))]
+    got = line_dedup.word_hashes(words).tolist()
+    assert len(spelled) == 3001 and len(set(got)) == len(set(zip(got, spelled))) == len(set(spelled))
+    assert len(line_dedup.word_hashes(kernel.Words(data[:0], np.zeros(2, np.int64), kernel.ALNUM))) == 0
+
+
+def test_normal_forms_of_many_lines_at_once():
+    texts = ["One,  two\nTHREE 4 five-six", "", "\n \n", "é ü x", "end", "--a--\n--", "next"]
+    found = line_dedup.Lines(*kernel.column_bytes(pa.array(texts)))
+    assert found.normals().to_pylist() == [found.normal(k) for k in range(len(found.low))]
+    assert found.normals().to_pylist()[:2] == ["one two", "three 0 five six"]
+    assert line_dedup._of_lines([]).normals().to_pylist() == []
+
+
+def test_texts_without_dropped_lines_stay_as_they_are():
+    checks = line_dedup._of_lines(["b", "x"]).checks().view(np.int64).tolist()
+    texts, lines = ["a\nb\nc", None, "a\nb", "", "q\nb\nx\nb"], [[1], [0], None, None, [1, 2, 3, 9]]
+    own = [[checks[0]], [checks[0]], None, None, [checks[0], checks[0], checks[0], checks[0]]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(lines, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.int64()))], names=["text", "lines", "checks"])
+    found, total, dropped = line_dedup._cleaned(batch, 0)
+    assert found.to_pylist() == ["a\nc", None, "a\nb", "", "q\nx"]
+    assert (total.tolist(), dropped.tolist()) == ([3, 0, 2, 1, 4], [1, 0, 0, 0, 2])
